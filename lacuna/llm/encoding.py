@@ -8,19 +8,41 @@ is followed by white space or ends the text; other texts go to the library whole
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 
-#: Words a worker remembers before it starts afresh.
-MEMO_WORDS = 600_000
-#: Longer words are not remembered.
-MEMO_CHARS = 64
+#: Words a worker remembers at most.
+MEMO_WORDS = 500_000
+#: Longer words seldom return and are not remembered.
+MEMO_CHARS = 8
 _UNSAFE = re.compile(r" \s| \Z")
 
 
+#: Letters below this are letters to every Unicode version in use.
+_LAST = "\u0250"
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary has for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+def _parts(ids: list[list[int]]) -> list[bytes]:
+    raw = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+    ends = list(accumulate([4 * len(x) for x in ids]))
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids as bytes."""
 
@@ -32,34 +54,60 @@ class Encoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.first: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder().values()
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.separable = not any(" " in t.content or t.lstrip or t.rstrip for t in added)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        #: Letters, with the blank before them, are one piece of the pre-tokenizer.
+        self.letters_whole = (
+            spec.get("normalizer") is None
+            and pre.get("type") == "ByteLevel"
+            and bool(pre.get("use_regex"))
+            and not pre.get("add_prefix_space")
+            and not any(t.content.isalpha() for t in added)
+        )
         #: A special token that parts words in one call of the library.
         self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
-        self.marking = Tokenizer.from_file(path)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of the words that ``memo`` lacks; the returned dict holds what is not kept."""
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> list[str]:
+        """Add the words that ``memo`` lacks; returns those to drop again after use."""
         missing = list(words.difference(memo))
-        spare: dict[str, bytes] = {}
+        room = len(memo) < MEMO_WORDS
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            for w, ids in zip(part, self._words([lead + w for w in part]), strict=True):
-                (memo if len(w) <= MEMO_CHARS else spare)[w] = ids
-        return spare
+            memo.update(zip(part, self._words([lead + w for w in part]), strict=True))
+        return [w for w in missing if len(w) > MEMO_CHARS] if room else missing
 
     def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words of letters alone go straight to the merges."""
+        out: dict[str, bytes] = {}
+        if self.letters_whole:
+            lead = words[0][:1] if words[0][:1] == " " else ""
+            plain = [w for w in words if (v := w[len(lead) :]).isalpha() and (v.isascii() or max(v) < _LAST)]
+            if plain:
+                rows = "\n".join(plain).encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[10])
+                tokenize = self.tokenizer.model.tokenize
+                out.update(zip(plain, _parts([[t.id for t in tokenize(r)] for r in rows]), strict=True))
+        rest = [w for w in words if w not in out] if out else words
+        for at in range(0, len(rest), 512):
+            part = rest[at : at + 512]
+            out.update(zip(part, self._marked(part), strict=True))
+        return [out[w] for w in words]
+
+    def _marked(self, words: list[str]) -> list[bytes]:
         """Ids of each word; one call encodes them all, parted by a special token."""
         if not self.mark or any(self.mark[0] in w for w in words):
             return self._library(words)
         content, mark = self.mark
-        ids = np.array(self.marking.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        as_text, self.tokenizer.encode_special_tokens = self.tokenizer.encode_special_tokens, False
+        ids = self.tokenizer.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids
+        self.tokenizer.encode_special_tokens = as_text
+        ids = np.array(ids, dtype="<u4")
         cuts = np.flatnonzero(ids == mark)
         if len(cuts) != len(words) - 1:
             return self._library(words)
@@ -79,12 +127,14 @@ class Encoder:
         if plain:
             split = [texts[i].split(" ") for i in plain]
             heads = [s.pop(0) for s in split]
-            spare = self._learn(self.first, set(heads), "")
-            rest = self._learn(self.inner, set().union(*split), " ")
-            inner = self.inner | rest if rest else self.inner
-            pick = inner.__getitem__
+            short = [(self.first, self._learn(self.first, set(heads), ""))]
+            short.append((self.inner, self._learn(self.inner, set().union(*split), " ")))
+            pick = self.inner.__getitem__
             for i, head, s in zip(plain, heads, split, strict=True):
-                out[i] = (self.first.get(head) or spare.get(head, b"")) + b"".join(map(pick, s))
+                out[i] = self.first[head] + b"".join(map(pick, s))
+            for memo, words in short:
+                for w in words:
+                    del memo[w]
         return out
 
 
