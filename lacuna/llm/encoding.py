@@ -65,8 +65,10 @@ class Encoder:
             and pre.get("type") == "ByteLevel"
             and bool(pre.get("use_regex"))
             and not pre.get("add_prefix_space")
-            and not any(t.content.isalpha() for t in added)
+            and not any(set(t.content) <= set(".,;:!?") or t.content.isalpha() for t in added)
         )
+        #: Ids of the marks that end a word and are a piece of their own.
+        self.stops = dict(zip(".,;:!?", self._library([*".,;:!?"]), strict=True)) if self.letters_whole else {}
         #: A special token that parts words in one call of the library.
         self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
 
@@ -84,15 +86,24 @@ class Encoder:
         return [w for w in missing if len(w) > MEMO_CHARS] if room else missing
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; words of letters alone go straight to the merges."""
+        """Ids of each word; letters, and a stop after them, go straight to the merges."""
         out: dict[str, bytes] = {}
         if self.letters_whole:
-            lead = words[0][:1] if words[0][:1] == " " else ""
-            plain = [w for w in words if (v := w[len(lead) :]).isalpha() and (v.isascii() or max(v) < _LAST)]
+            begin = 1 if words[0][:1] == " " else 0
+            plain, stops = [], []
+            for w in words:
+                v, last = w[begin:], w[-1:]
+                if last in self.stops:
+                    v = v[:-1]
+                if v.isalpha() and (v.isascii() or max(v) < _LAST):
+                    plain.append(w)
+                    stops.append(last)
             if plain:
-                rows = "\n".join(plain).encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[10])
+                bare = [w[:-1] if c in self.stops else w for w, c in zip(plain, stops, strict=True)]
+                rows = "\n".join(bare).encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[10])
                 tokenize = self.tokenizer.model.tokenize
-                out.update(zip(plain, _parts([[t.id for t in tokenize(r)] for r in rows]), strict=True))
+                ids = _parts([[t.id for t in tokenize(r)] for r in rows])
+                out = {w: x + self.stops.get(c, b"") for w, x, c in zip(plain, ids, stops, strict=True)}
         rest = [w for w in words if w not in out] if out else words
         for at in range(0, len(rest), 512):
             part = rest[at : at + 512]

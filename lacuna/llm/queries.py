@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, suffix_dedup, token_counts, token_files
+from . import decontaminate, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op1(_documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op3(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op4(_documents(spark, sf_dir))
 
@@ -33,7 +41,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op8(_documents(spark, sf_dir))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op4_token_counts, op5_packing, op6_simhash, op8_token_files)
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_line_dedup,
+        op3_toxicity,
+        op4_token_counts,
+        op5_packing,
+        op6_simhash,
+        op8_token_files,
+        op10_decontaminate,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
