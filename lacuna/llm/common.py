@@ -67,8 +67,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iter
         yield from slices(batch, column)
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``tag``, ``text`` (null text: empty).
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """``doc_id``, ``tag``, ``text`` (null text: empty), and with ``rest`` the whole row as a struct.
 
     ``tag`` is the text's crc32: repeated ids with other texts stay apart, and
     repeated rows share one key and one result.
@@ -78,6 +78,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("doc_id"),
         (F.crc32(text.cast("binary")) - F.lit(1 << 31)).cast("int").alias("tag"),
         text.alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")] if rest else []),
     )
 
 

@@ -116,14 +116,13 @@ def contaminated(
     n_docs, n_starts = wanted.count(), starts.count()
     small = bounded(wanted, n_docs + n_starts, 64)
     texts = rows.join(small, same_doc(rows, wanted)).select(rows["doc_id"], rows["tag"], "text", "asked")
-    # repeated rows: one of them is enough
     texts = texts.select("doc_id", "tag", "asked", _words(F.col("text")).alias("w"))
     spans = []
     for k in sorted(size.k):
         held = texts.select("doc_id", "tag", "asked", _hashes("w", k).alias("hashes"))
         one = held.select("doc_id", "tag", "hashes", F.explode(F.expr(f"filter(asked, a -> a.k = {k})")).alias("a"))
         one = one.select("doc_id", "tag", "a.*", F.expr("slice(hashes, a.start + 1, a.item_n)").alias("hs"))
-        spans.append(one.dropDuplicates([*one_doc, "start"]))
+        spans.append(one.dropDuplicates([*one_doc, "start"]))  # repeated rows: one is enough
     windows = spans[0]
     for more in spans[1:]:
         windows = windows.unionByName(more)
@@ -160,6 +159,14 @@ def contaminated(
     return similar.select("doc_id", "tag", "item_id", "b.start", "b.similarity", "b.distance")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that contain a benchmark item; all columns are as they were."""
+    leaks = cut(contaminated(docs, benchmark).select("doc_id", "tag").distinct(), "leaks")
+    rows = identified(docs, rest=True)
+    few = bounded(leaks, leaks.count(), 24)
+    return rows.join(few, same_doc(rows, leaks), "left_anti").select("rest.*")
+
+
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contaminated(docs, benchmark).select("doc_id", "item_id", "start", "similarity")
 

@@ -48,10 +48,14 @@ def later_windows(rows: DataFrame) -> DataFrame:
     return later.filter(~first).select("doc_id", "tag", "at")
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_lines, n_removed, text`` of every row; ``text`` is what is left."""
-    rows = identified(docs, id_col, text_col)
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, text`` of every row; ``text`` is what is left.
+
+    With ``rest`` a struct of the row's own columns comes along.
+    """
+    rows = identified(docs, id_col, text_col, rest)
     later = later_windows(rows).groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts"))
+    names = ["doc_id", "n_lines", "n_removed", "text"] + ["rest"] * rest
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -67,13 +71,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 sizes.append(len(lines))
                 gone.append(len(covered))
                 left.append("\n".join(x for i, x in enumerate(lines) if i not in covered))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())],
-                names=["doc_id", "n_lines", "n_removed", "text"],
-            )
+            made = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(made + [batch["rest"]] * rest, names=names)
 
-    joined = rows.join(later, same_doc(rows, later), "left").select(rows["doc_id"], "text", "starts")
-    return joined.mapInArrow(remove, "doc_id long, n_lines long, n_removed long, text string")
+    joined = rows.join(later, same_doc(rows, later), "left").select(rows["doc_id"], "text", "starts", *["rest"] * rest)
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text", *["rest"] * rest)
+    return joined.mapInArrow(remove, schema.schema)
 
 
 ORACLE = """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, toxicity
+from . import ann, decontaminate, line_dedup, packing, simhash, suffix_dedup, token_counts, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op8(_documents(spark, sf_dir))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op9(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_packing,
         op6_simhash,
         op8_token_files,
+        op9_nearest,
         op10_decontaminate,
     )
 }

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices
+from .common import cut, identified, same_doc, text_slices
 from .components import components
 
 RADIUS = 3
@@ -76,15 +76,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long) of every row."""
+    """``doc_id, tag, fp`` (the fingerprint's bits as a long) of every row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             fps = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], pa.array(fps.view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cut(rows.mapInArrow(emit, "doc_id long, fp long"), "fingerprints")
+    rows = identified(docs, id_col, text_col)
+    return cut(rows.mapInArrow(emit, "doc_id long, tag int, fp long"), "fingerprints")
 
 
 def _signed(x: int) -> int:
@@ -159,15 +159,34 @@ def _hubs(crowded: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+    """``doc_id, tag, fp, component, component_id`` of every row.
+
+    ``component`` names the component by a fingerprint, ``component_id`` by its smallest id.
+    """
     rows = fingerprints(docs, id_col=id_col, text_col=text_col)
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     joined = cut(components(links(classes.select("fp"), crowd=crowd)), "components")
     known = classes.join(joined, classes["fp"] == joined["node"], "left")
     known = known.withColumn("component", F.coalesce("component", "fp")).select("fp", "least", "component")
     named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(known.join(named, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(known.join(named, "component").select("fp", "component", "component_id"), "named")
+    return rows.join(named, "fp").select("doc_id", "tag", "fp", "component", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, nulls last.
+
+    Of rows equal in id and text one stays, whichever; all columns are as they were.
+    """
+    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tag")
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    first = cut(first.select("first.doc_id", "first.tag"), "first")
+    rows = identified(docs, id_col, text_col, rest=True)
+    kept = rows.join(first, same_doc(rows, first), "left_semi")
+    if not found.groupBy("doc_id", "tag").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "tag"])
+    return kept.select("rest.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:

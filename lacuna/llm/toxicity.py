@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import identified, text_slices
 
 WINDOW = 48
 #: A bag counts as so many tokens at least, so that one odd word is not all of a short text.
@@ -229,21 +229,19 @@ def score_texts(model: Model, texts: list[str], memo: dict[str, float]) -> np.nd
     return 1 / (1 + np.exp(-np.clip(best + model.bias, -500, 500)))
 
 
-def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (or ``doc_id``) of every row with ``score``."""
-    keep = keep or ["doc_id"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("__text")) if "text" in keep else docs.select(*keep, text.alias("__text"))
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """``doc_id, score`` of every row, and with ``rest`` a struct of the row's own columns."""
+    rows = identified(docs, id_col, text_col, rest).drop("tag")
+    keep = ["doc_id"] + ["rest"] * rest
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE numbers, whatever the corpus
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, float] = {}
-        for batch in text_slices(batches, "__text"):
-            scores = score_texts(shared.value, batch["__text"].to_pylist(), memo)
+        for batch in text_slices(batches):
+            scores = score_texts(shared.value, batch["text"].to_pylist(), memo)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(scores)], names=[*keep, "score"])
 
-    return rows.mapInArrow(emit, schema)
+    return rows.mapInArrow(emit, rows.select(*keep, F.lit(0.0).alias("score")).schema)
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
