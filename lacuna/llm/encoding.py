@@ -13,13 +13,14 @@ import os
 import re
 from functools import lru_cache
 from itertools import accumulate, chain
+from operator import attrgetter
 
 import numpy as np
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 600_000
 #: Longer words seldom return and are not remembered.
-MEMO_CHARS = 8
+MEMO_CHARS = 10
 _UNSAFE = re.compile(r" \s| \Z")
 
 
@@ -37,9 +38,10 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
-def _parts(ids: list[list[int]]) -> list[bytes]:
-    raw = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-    ends = list(accumulate([4 * len(x) for x in ids]))
+def _parts(found: list[list]) -> list[bytes]:
+    """The ids of each word's tokens."""
+    raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), dtype="<u4").tobytes()
+    ends = list(accumulate(4 * n for n in map(len, found)))
     return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
@@ -101,8 +103,7 @@ class Encoder:
             if plain:
                 bare = [w[:-1] if c in self.stops else w for w, c in zip(plain, stops, strict=True)]
                 rows = "\n".join(bare).encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[10])
-                tokenize = self.tokenizer.model.tokenize
-                ids = _parts([[t.id for t in tokenize(r)] for r in rows])
+                ids = _parts(list(map(self.tokenizer.model.tokenize, rows)))
                 out = {w: x + self.stops.get(c, b"") for w, x, c in zip(plain, ids, stops, strict=True)}
         rest = [w for w in words if w not in out] if out else words
         for at in range(0, len(rest), 512):
