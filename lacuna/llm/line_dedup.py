@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 gone.append(len(covered))
                 left.append("\n".join(x for i, x in enumerate(lines) if i not in covered))
             made = [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())]
-            yield pa.RecordBatch.from_arrays(made + [batch["rest"]] * rest, names=names)
+            yield pa.RecordBatch.from_arrays(made + ([batch["rest"]] if rest else []), names=names)
 
     joined = rows.join(later, same_doc(rows, later), "left").select(rows["doc_id"], "text", "starts", *["rest"] * rest)
     schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text", *["rest"] * rest)
