@@ -12,13 +12,12 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain
-from operator import attrgetter
+from string import punctuation
 
 import numpy as np
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 500_000
 #: Longer words seldom return and are not remembered.
 MEMO_CHARS = 10
 _UNSAFE = re.compile(r" \s| \Z")
@@ -38,11 +37,39 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
-def _parts(found: list[list]) -> list[bytes]:
-    """The ids of each word's tokens."""
-    raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), dtype="<u4").tobytes()
-    ends = list(accumulate(4 * n for n in map(len, found)))
-    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+class _Memo(dict):
+    """Word to ids as bytes; a word that it lacks is encoded when it is asked for."""
+
+    def __init__(self, encoder: Encoder, first: _Memo | None):
+        blank = first is not None
+        self.first = self if first is None else first
+        self.tokenize = encoder.tokenizer.model.tokenize
+        self.library, self.runs = encoder.library, encoder.runs
+        self.of_id, self.letters_whole = encoder.of_id, encoder.letters_whole
+        self.blank, self.lead = " " * blank, _BYTE_CHARS[32] * blank
+
+    def __missing__(self, word: str) -> bytes:
+        bare = word.rstrip(punctuation)
+        head, line_end, rest = word.partition("\n")
+        if self.letters_whole and line_end and head and not (head[-1].isspace() or rest[:1].isspace()):
+            # a lone line end is a piece of its own, and what follows it has no blank
+            ids = self[head] + self.runs[line_end] + (self.first[rest] if rest else b"")
+        elif self.letters_whole and bare.isalpha() and (bare.isascii() or max(bare) < _LAST):
+            # letters are one piece of the pre-tokenizer, the marks after them another
+            shown = bare if bare.isascii() else bare.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = b"".join([self.of_id[t.id] for t in self.tokenize(self.lead + shown)])
+            if len(bare) < len(word):
+                run = word[len(bare) :]
+                if run not in self.runs:
+                    self.runs[run] = self.library([run])[0]
+                ids += self.runs[run]
+                if len(self.runs) > 10_000:
+                    self.runs = {"\n": self.runs["\n"]}
+        else:
+            ids = self.library([self.blank + word])[0]
+        if len(word) <= MEMO_CHARS and len(self) < MEMO_WORDS:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -54,8 +81,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.separable = not any(" " in t.content or t.lstrip or t.rstrip for t in added)
         with open(path, encoding="utf-8") as f:
@@ -67,86 +92,29 @@ class Encoder:
             and pre.get("type") == "ByteLevel"
             and bool(pre.get("use_regex"))
             and not pre.get("add_prefix_space")
-            and not any(set(t.content) <= set(".,;:!?") or t.content.isalpha() for t in added)
+            and not any(t.content.isalpha() or not t.content.strip(punctuation) for t in added)
         )
-        #: Ids of the marks that end a word and are a piece of their own.
-        self.stops = dict(zip(".,;:!?", self._library([*".,;:!?"]), strict=True)) if self.letters_whole else {}
-        #: A special token that parts words in one call of the library.
-        self.mark = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special), None)
+        self.of_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.runs = {"\n": self.library(["\n"])[0]}
+        self.first = _Memo(self, None)
+        self.inner = _Memo(self, self.first)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> list[str]:
-        """Add the words that ``memo`` lacks; returns those to drop again after use."""
-        missing = list(words.difference(memo))
-        room = len(memo) < MEMO_WORDS
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            memo.update(zip(part, self._words([lead + w for w in part]), strict=True))
-        return [w for w in missing if len(w) > MEMO_CHARS] if room else missing
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; letters, and a stop after them, go straight to the merges."""
-        out: dict[str, bytes] = {}
-        if self.letters_whole:
-            begin = 1 if words[0][:1] == " " else 0
-            plain, stops = [], []
-            for w in words:
-                v, last = w[begin:], w[-1:]
-                if last in self.stops:
-                    v = v[:-1]
-                if v.isalpha() and (v.isascii() or max(v) < _LAST):
-                    plain.append(w)
-                    stops.append(last)
-            if plain:
-                bare = [w[:-1] if c in self.stops else w for w, c in zip(plain, stops, strict=True)]
-                rows = "\n".join(bare).encode().decode("latin-1").translate(_BYTE_CHARS).split(_BYTE_CHARS[10])
-                ids = _parts(list(map(self.tokenizer.model.tokenize, rows)))
-                out = {w: x + self.stops.get(c, b"") for w, x, c in zip(plain, ids, stops, strict=True)}
-        rest = [w for w in words if w not in out] if out else words
-        for at in range(0, len(rest), 512):
-            part = rest[at : at + 512]
-            out.update(zip(part, self._marked(part), strict=True))
-        return [out[w] for w in words]
-
-    def _marked(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; one call encodes them all, parted by a special token."""
-        if not self.mark or any(self.mark[0] in w for w in words):
-            return self._library(words)
-        content, mark = self.mark
-        as_text, self.tokenizer.encode_special_tokens = self.tokenizer.encode_special_tokens, False
-        ids = self.tokenizer.encode_batch_fast([content.join(words)], add_special_tokens=False)[0].ids
-        self.tokenizer.encode_special_tokens = as_text
-        ids = np.array(ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == mark)
-        if len(cuts) != len(words) - 1:
-            return self._library(words)
-        raw, ends = ids.tobytes(), np.append(cuts, len(ids)) * 4
-        begins = np.insert(cuts + 1, 0, 0) * 4
-        return [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain, whole = [], []
+        first, inner = self.first.__getitem__, self.inner.__getitem__
+        whole = []
         for i, t in enumerate(texts):
-            if t:
-                (plain if self.separable and not _UNSAFE.search(t) else whole).append(i)
-        if whole:
-            for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-                out[i] = ids
-        if plain:
-            split = [texts[i].split(" ") for i in plain]
-            heads = [s.pop(0) for s in split]
-            short = [(self.first, self._learn(self.first, set(heads), ""))]
-            short.append((self.inner, self._learn(self.inner, set().union(*split), " ")))
-            pick = self.inner.__getitem__
-            for i, head, s in zip(plain, heads, split, strict=True):
-                out[i] = self.first[head] + b"".join(map(pick, s))
-            for memo, words in short:
-                for w in words:
-                    del memo[w]
+            if t and self.separable and not _UNSAFE.search(t):
+                words = t.split(" ")
+                out[i] = first(words[0]) + b"".join(map(inner, words[1:]))
+            elif t:
+                whole.append(i)
+        for i, ids in zip(whole, self.library([texts[i] for i in whole]) if whole else (), strict=True):
+            out[i] = ids
         return out
 
 
