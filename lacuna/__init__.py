@@ -1,0 +1 @@
+"""Negative-space analytics on Spark: learn the conventions data follows, report where they break."""
