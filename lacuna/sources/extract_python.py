@@ -51,7 +51,9 @@ def _typed(args: ast.arguments) -> list[str]:
 
 def _callable(node: ast.FunctionDef | ast.AsyncFunctionDef, src: _Source) -> dict[str, list[str]]:
     calls, keywords = set(), set()
-    for x in ast.walk(node):
+    # a decorator belongs to the definition, not to what it does
+    inner = [node.args, *node.body, *([node.returns] if node.returns else [])]
+    for x in (x for part in inner for x in ast.walk(part)):
         if isinstance(x, ast.Call):
             calls.add(clean_call_name(src.segment(x.func).strip()))
             keywords.update(f"{k.arg}=" for k in x.keywords if k.arg)

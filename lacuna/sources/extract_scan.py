@@ -309,6 +309,7 @@ class _Scanner:
         elif kind == "function" and "::" in name:
             kind, full = "method", name.replace("::", ".")
         if kind not in ("function", "method", "impl"):
+            header = re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "()", header)  # no types of parameters
             parents = [p for r in self.lang.inherits if (m := re.search(r, header, re.S)) for p in _split_types(m[1])]
         self.rows.append((kind, full, self.line(begin), self.features(kind, head, body, parents)))
         if kind in self.lang.holds and body_at >= 0:
@@ -389,7 +390,8 @@ def scan_bash(content: bytes) -> list[Row]:
     rows: list[Row] = []
     for m in re.finditer(r"^[ \t]*(?:function\s+([\w:.\-]+)\s*(?:\(\s*\))?|([\w:.\-]+)\s*\(\s*\))\s*\{", text, re.M):
         body = text[m.end() : pair.get(m.end() - 1, len(text))]
-        commands = re.findall(r"(?:^|[;&|(`\n]|\bthen\b|\bdo\b|\belse\b|\bif\b|\bwhile\b|!)[ \t]*(?:\w+=\S*[ \t]+)*([A-Za-z_./][\w./\-]*)(?!\s*=|\w*=|[\w./\-]*\()", body)
+        body = re.sub(r"(?<![\w$./-])(?:if|then|elif|else|do|while|until|!)(?![\w./-])", ";", body)
+        commands = re.findall(r"(?:^|[;&|(`\n])[ \t]*(?:\w+=\S*[ \t]+)*([A-Za-z_./][\w./\-]*)(?!\s*=|\w*=|[\w./\-]*\()", body)
         calls = {c for c in commands if c not in _SHELL_WORDS}
         rows.append(("function", m[1] or m[2], text.count("\n", 0, m.start(1) if m[1] else m.start(2)) + 1, {"calls": sorted(calls)}))
     return rows
