@@ -45,6 +45,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, as texts differ in length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default; another value is the user's
+        spark.conf.set(key, f"{SLICE_BYTES}b")
+
+
+def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first ``n`` rows by a hash of ``keys``, or nearly so many; few rows leave any task."""
+    total = df.count()
+    order = F.xxhash64(*keys)
+    if total > 2 * n:
+        parts = 1 << 20
+        df = df.filter(F.pmod(order, F.lit(parts)) < max(1, round(1.5 * n / total * parts)))
+    return df.orderBy(order, *keys).limit(n)
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint when ``rows`` of ``row_bytes`` fit the bound, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
@@ -73,6 +90,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``tag`` is the text's crc32: repeated ids with other texts stay apart, and
     repeated rows share one key and one result.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),

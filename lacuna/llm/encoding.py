@@ -17,9 +17,10 @@ from string import punctuation
 import numpy as np
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: Longer words seldom return and are not remembered.
-MEMO_CHARS = 10
+MEMO_CHARS = 12
+SEEN_SLOTS = 1 << 22
 _UNSAFE = re.compile(r" \s| \Z")
 
 
@@ -42,6 +43,7 @@ class _Memo(dict):
 
     def __init__(self, encoder: Encoder, first: _Memo | None):
         blank = first is not None
+        self.seen = bytearray(SEEN_SLOTS)  # a word is remembered from its second time on
         self.first = self if first is None else first
         self.tokenize = encoder.tokenizer.model.tokenize
         self.library, self.runs = encoder.library, encoder.runs
@@ -68,7 +70,10 @@ class _Memo(dict):
         else:
             ids = self.library([self.blank + word])[0]
         if len(word) <= MEMO_CHARS and len(self) < MEMO_WORDS:
-            self[word] = ids
+            at = hash(word) & (SEEN_SLOTS - 1)
+            if self.seen[at]:
+                self[word] = ids
+            self.seen[at] = 1
         return ids
 
 
