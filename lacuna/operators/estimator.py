@@ -89,8 +89,9 @@ def fit_amdahl(observations: DataFrame) -> DataFrame:
 
 
 def speed_factor(expected_s: Column, measured_s: Column, overhead_s: Column) -> Column:
-    spent = measured_s - overhead_s
-    return F.when(spent > 0, F.greatest(F.lit(0.05), F.least(F.lit(5.0), expected_s / spent))).otherwise(F.lit(1.0))
+    """How fast this machine is against the baseline, within 0.05 and 5."""
+    ratio = expected_s / F.greatest(F.lit(0.01), measured_s - overhead_s)
+    return F.when(expected_s > 0, F.greatest(F.lit(0.05), F.least(F.lit(5.0), ratio))).otherwise(F.lit(1.0))
 
 
 def recent_runs(runs: DataFrame, now: Column, days: int = RUN_DAYS, most: int = RUN_COUNT) -> DataFrame:
@@ -122,13 +123,52 @@ def is_stale(version: Column, cores: Column, age: Column, now_version: str, now_
     return (
         F.when(version != now_version, "version")
         .when(cores != now_cores, "cores")
-        .when(age.isNull() | (age >= days), "age")
+        .when(age >= days, "age")
     )
 
 
-def confidence_band(calibrated: Column, runs: Column) -> Column:
-    """Relative half-width of an estimate: narrower the more has been measured."""
-    return F.when(runs >= LEAST_RUNS, 0.15).when(calibrated, 0.30).otherwise(0.60)
+def _steps(value: Column, *steps: tuple[float, float], otherwise: Column | float) -> Column:
+    """The result of the first step whose bound the value reaches."""
+    (bound, result), *rest = steps
+    chain = F.when(value >= bound, F.lit(result))
+    for bound, result in rest:
+        chain = chain.when(value >= bound, F.lit(result))
+    return chain.otherwise(otherwise)
+
+
+def coverage(shape: DataFrame, calibrated: list[str]) -> DataFrame:
+    """One row: the share of bytes in languages that a calibration has measured."""
+    known = F.sum(F.when(F.col("language").isin(*calibrated) if calibrated else F.lit(False), F.col("bytes")).otherwise(0))
+    total = F.sum("bytes")
+    return shape.agg(F.when(total > 0, known / total).otherwise(F.lit(0.0)).alias("coverage"))
+
+
+def confidence_band(observed: Column, calibrated: Column, age: Column, covered: Column, runs: Column) -> tuple[Column, Column]:
+    """Label and relative error of an estimate.
+
+    A cold run of the same corpus is nearly a measurement.  Without calibration only
+    past runs narrow the band; with one, it depends on the languages that were
+    measured, widens with age and narrows with runs.
+    """
+    plain = _steps(runs, (5, 0.25), (3, 0.40), otherwise=0.50)
+    base = _steps(covered, (0.90, 0.15), (0.50, 0.25), otherwise=0.40)
+    aged = F.when(age.isNull() | (age <= 30), 1.0).when(age <= 90, 1.2).otherwise(1.5)
+    wide = F.least(F.lit(0.60), base * aged)
+    narrowed = (
+        F.when(runs >= 10, F.greatest(F.lit(0.08), wide * 0.5))
+        .when(runs >= 5, F.greatest(F.lit(0.10), wide * 0.65))
+        .when(runs >= 3, F.greatest(F.lit(0.12), wide * 0.80))
+        .otherwise(wide)
+    )
+    error = F.when(observed, 0.05).when(~calibrated, plain).otherwise(narrowed)
+    label = (
+        F.when(observed, "high")
+        .when(~calibrated, F.when(runs >= 5, "medium").otherwise("low"))
+        .when(narrowed <= 0.18, "high")
+        .when(narrowed <= 0.30, "medium")
+        .otherwise("low")
+    )
+    return label, error
 
 
 def languages_by_bytes(shape: DataFrame) -> DataFrame:

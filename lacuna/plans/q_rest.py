@@ -271,6 +271,32 @@ def est6(spark, sf_dir):
     return estimator.bps_table(spark, 2.0, {"c": 7}).filter(F.col("language").isin("python", "c", "bash", "go"))
 
 
+@BOOK.add(
+    "est10_confidence",
+    """WITH c AS (SELECT o_orderkey, o_orderkey % 17 = 0 AS seen, o_orderkey % 5 <> 0 AS cal, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 120 END AS age,
+  (o_orderkey % 11) / 10.0::DOUBLE AS cov, o_orderkey % 12 AS runs FROM orders),
+w AS (SELECT *, least(0.6::DOUBLE, (CASE WHEN cov >= 0.9 THEN 0.15::DOUBLE WHEN cov >= 0.5 THEN 0.25 ELSE 0.4 END)
+  * (CASE WHEN age IS NULL OR age <= 30 THEN 1.0::DOUBLE WHEN age <= 90 THEN 1.2 ELSE 1.5 END)) AS wide FROM c),
+n AS (SELECT *, CASE WHEN runs >= 10 THEN greatest(0.08::DOUBLE, wide * 0.5::DOUBLE) WHEN runs >= 5 THEN greatest(0.1::DOUBLE, wide * 0.65::DOUBLE)
+  WHEN runs >= 3 THEN greatest(0.12::DOUBLE, wide * 0.8::DOUBLE) ELSE wide END AS narrow FROM w)
+SELECT o_orderkey, CASE WHEN seen THEN 'high' WHEN NOT cal THEN CASE WHEN runs >= 5 THEN 'medium' ELSE 'low' END
+  WHEN narrow <= 0.18 THEN 'high' WHEN narrow <= 0.3 THEN 'medium' ELSE 'low' END AS label,
+  round(CASE WHEN seen THEN 0.05::DOUBLE WHEN NOT cal THEN CASE WHEN runs >= 5 THEN 0.25 WHEN runs >= 3 THEN 0.4 ELSE 0.5 END ELSE narrow END, 6) AS error FROM n""",
+)
+def est10(spark, sf_dir):
+    k = F.col("o_orderkey")
+    age = F.when(k % 7 != 0, k % 120)
+    label, error = estimator.confidence_band(k % 17 == 0, k % 5 != 0, age, (k % 11) / 10.0, k % 12)
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), F.round(error, 6).alias("error"))
+
+
+@BOOK.add("est7_speed_factor", "SELECT p_partkey, CASE WHEN p_size % 9 > 0 THEN greatest(0.05::DOUBLE, least(5.0::DOUBLE, (p_size % 9) / greatest(0.01::DOUBLE, p_size / 10.0::DOUBLE - 1))) ELSE 1.0 END AS factor FROM part")
+def est7(spark, sf_dir):
+    size = F.col("p_size")
+    factor = estimator.speed_factor((size % 9).cast("double"), size / 10.0, F.lit(1.0))
+    return b.table(spark, sf_dir, "part").select("p_partkey", factor.alias("factor"))
+
+
 @BOOK.add("view13_languages", _LANGS + "SELECT language, CAST(sum(length) AS BIGINT) AS bytes FROM l GROUP BY 1")
 def view13(spark, sf_dir):
     return estimator.languages_by_bytes(_shape(spark, sf_dir)[0]).select("language", "bytes")

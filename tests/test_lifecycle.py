@@ -192,3 +192,19 @@ def test_views(spark):
     assert pairs(found)[-1][1] == "a/x.py::f4"
     assert finalize.rules_by_id(found.rules).count() == found.rules.count()
     found.release()
+
+
+def test_command_line(spark, tree, capsys):
+    from lacuna.__main__ import main
+
+    assert main(["check", str(tree), "--report", "json"]) == 1
+    gaps = json.loads(capsys.readouterr().out)["gaps"]
+    (gap,) = [g for g in gaps if g["rule"]["feature_value"] == "@audit"]
+    assert main(["suppress", gap["short_id"], "--reason", "known", "--path", str(tree)]) == 0
+    main(["check", str(tree), "--report", "json"])
+    assert gap["id"] not in capsys.readouterr().out
+    assert main(["check", str(tree), "--quiet", "--max-gaps", "99"]) == 0
+    assert main(["est", str(tree), "--recalibrate", "--use-synthetic", "--history"]) == 0
+    assert "confidence: " in capsys.readouterr().out
+    assert main(["check", str(tree), "--config", "/nowhere.toml"]) == 2
+    assert main(["purge", str(tree)]) == 0 and not (tree / ".lacuna").exists()
