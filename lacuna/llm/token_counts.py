@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, identified, text_slices
+from .common import bounded, cut, fresh_path, identified, text_slices
 from .encoding import default_tokenizer, encoder
 from .token_files import open_store
 
@@ -36,7 +36,7 @@ def write_flat(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One flat file a task; returns ``path, ordinal, doc_id`` in file order."""
+    """One flat file a task; returns ``file, ordinal, doc_id`` in file order, and each file's ``path`` once."""
     out = fresh_path(docs.sparkSession, "flat")
     tokenizer = tokenizer or default_tokenizer()
     kind = "<u4" if vocabulary > 1 << 16 else "<u2"
@@ -47,7 +47,8 @@ def write_flat(
         path = f"{out}/part-{task.partitionId():06d}-{task.taskAttemptId()}.{kind[1:]}"
         enc, sink, ordinal = encoder(tokenizer, True), None, 0
         for batch in text_slices(batches):
-            if sink is None:
+            first = sink is None
+            if first:
                 fs, place = open_store(path)
                 fs.create_dir(place.rpartition("/")[0], recursive=True)
                 sink = fs.open_output_stream(place)
@@ -55,81 +56,88 @@ def write_flat(
             sink.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch["doc_id"]],
-                names=["path", "ordinal", "doc_id"],
+                [
+                    pa.array([task.partitionId()] * n, pa.int32()),
+                    pa.array(np.arange(ordinal, ordinal + n)),
+                    batch["doc_id"],
+                    pa.array([path if first else None] + [None] * (n - 1), pa.string()),
+                ],
+                names=["file", "ordinal", "doc_id", "path"],
             )
             ordinal += n
         if sink is not None:
             sink.close()
 
     rows = identified(docs, id_col, text_col).select("doc_id", "text")
-    return cut(rows.mapInArrow(write, "path string, ordinal long, doc_id long"), "flat-order")
+    return cut(rows.mapInArrow(write, "file int, ordinal long, doc_id long, path string"), "flat-order")
+
+
+_SCANNED = "file int, block long, j long, begin long, stop long"
 
 
 def scan_flat(files: DataFrame, *, end_id: int = 50_256, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``path, ordinal, start, n_tokens`` of each document in flat files (column ``path``)."""
+    """``file, ordinal, start, n_tokens`` of each document in flat files (``file, path``)."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"].to_pylist():
+            for file, path in zip(batch["file"].to_pylist(), batch["path"].to_pylist(), strict=True):
                 fs, place = open_store(path)
                 ids = fs.get_file_info(place).size // int(path[-1])
                 n = -(-ids // block_ids)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * n, pa.string()), "block": np.arange(n)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * n, pa.int32()), pa.array([path] * n, pa.string()), pa.array(np.arange(n))], names=["file", "path", "block"]
+                )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, block in zip(batch["path"].to_pylist(), batch["block"].to_pylist(), strict=True):
+            for file, path, block in zip(*(batch[c].to_pylist() for c in ("file", "path", "block")), strict=True):
                 fs, place = open_store(path)
                 width = int(path[-1])
                 with fs.open_input_file(place) as f:
                     data = f.read_at(block_ids * width, block * block_ids * width)
                 ids = np.frombuffer(data, f"<u{width}")
-                at = np.flatnonzero(ids == end_id)
+                stop = np.flatnonzero(ids == end_id)
+                begin = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else stop
+                # last comes the block's summary: how many ends, and the ids after the last
+                tail = len(ids) - (int(stop[-1]) + 1 if len(stop) else 0)
+                n = len(stop)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([path], pa.string()),
-                        pa.array([block], pa.int64()),
-                        pa.array([len(at)], pa.int64()),
-                        pa.array([len(ids) - (at[-1] + 1 if len(at) else 0)], pa.int64()),
-                        pa.array([at], pa.list_(pa.int64())),
+                        pa.array([file] * (n + 1), pa.int32()),
+                        pa.array([block] * (n + 1), pa.int64()),
+                        pa.array(np.append(np.arange(n), -1)),
+                        pa.array(np.append(begin, tail).astype(np.int64)),
+                        pa.array(np.append(stop, n).astype(np.int64)),
                     ],
-                    names=["path", "block", "ends", "tail", "at"],
+                    names=["file", "block", "j", "begin", "stop"],
                 )
 
-    blocks = files.select("path").distinct().mapInArrow(sizes, "path string, block long")
-    found = blocks.repartition("path", "block").mapInArrow(scan, "path string, block long, ends long, tail long, at array<long>")
-    found = cut(found, "blocks")
+    blocks = files.select("file", "path").mapInArrow(sizes, "file int, path string, block long")
+    found = cut(blocks.repartition("file", "block").mapInArrow(scan, _SCANNED), "ends")
     # prefix scan over block summaries, a row a block: documents before, and ids since the last end
-    order = Window.partitionBy("path").orderBy("block")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    run = F.coalesce(F.sum((F.col("ends") > 0).cast("int")).over(earlier), F.lit(0))
-    scanned = (
-        found.select("path", "block", "ends", "tail")
-        .withColumn("first", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
-        .withColumn("run", run)
-        .withColumn("closes", F.max(F.when(F.col("ends") > 0, F.col("block"))).over(earlier))
-    )
-    in_run = Window.partitionBy("path", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    closing = scanned.select(
-        F.col("path").alias("p"), F.col("block").alias("b"), F.col("tail").alias("closing_tail")
-    )
-    carried = scanned.withColumn("open", F.coalesce(F.sum(F.when(F.col("ends") == 0, F.col("tail"))).over(in_run), F.lit(0)))
-    carried = carried.join(closing, (F.col("path") == F.col("p")) & (F.col("closes") == F.col("b")), "left").select(
-        "path", "block", "first", (F.col("open") + F.coalesce("closing_tail", F.lit(0))).alias("carry")
-    )
-    each = found.select("path", "block", F.posexplode("at").alias("j", "stop"), "at")
-    each = each.join(carried, ["path", "block"])
-    before = F.when(F.col("j") > 0, F.get("at", F.col("j") - 1) + 1).otherwise(-F.col("carry"))
+    summary = found.filter("j < 0").select("file", "block", F.col("stop").alias("ends"), F.col("begin").alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("block")
+    # blocks from one with an end up to the next share a run: their tails are what stays open
+    summary = summary.withColumn("first", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    summary = summary.withColumn("run", F.sum(F.when(F.col("ends") > 0, 1).otherwise(0)).over(upto))
+    in_run = Window.partitionBy("file", "run").orderBy("block")
+    summary = summary.withColumn("open", F.sum("tail").over(in_run))
+    carried = summary.withColumn("carry", F.coalesce(F.lag("open").over(upto), F.lit(0)))
+    n_blocks = carried.count()
+    carried = bounded(carried.select("file", "block", "first", "carry"), n_blocks, 40)
+    each = found.filter("j >= 0").join(carried, ["file", "block"])
+    begin = F.col("begin") - F.when(F.col("j") == 0, F.col("carry")).otherwise(0)
     return each.select(
-        "path",
+        "file",
         (F.col("first") + F.col("j")).alias("ordinal"),
-        (F.col("block") * block_ids + before).alias("start"),
-        (F.col("stop") + 1 - before).alias("n_tokens"),
+        (F.col("block") * block_ids + begin).alias("start"),
+        (F.col("stop") + 1 - begin).alias("n_tokens"),
     )
 
 
 def op4(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens`` (with the end id) of every document, from the files alone."""
     order = write_flat(docs)
-    return order.join(scan_flat(order), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    counts = scan_flat(order.filter("path is not null"))
+    return order.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
