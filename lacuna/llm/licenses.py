@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, text_slices
+from .common import bounded_sample, identified, text_slices
 
 SURE = 0.7
 CONFIRM = 0.6
@@ -217,7 +217,7 @@ def train(plain: list[list[str]], seed: int = 3) -> Model:
 def plain_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[list[str]]:
     """Bounded sample of paragraphs that resemble no template."""
     rows = identified(docs, id_col, text_col).filter(F.length("text") <= PLAIN_CHARS)
-    some = rows.orderBy(F.xxhash64("doc_id", "tag"), "doc_id", "tag").limit(PLAIN_DOCS).collect()
+    some = bounded_sample(rows, PLAIN_DOCS, "doc_id", "tag").collect()
     found = [w for r in some for p in r.text.split("\n") if (w := words(p))]
     return [w for w in found if max(resemblance(w, c) for c in TEMPLATES) < CONFIRM]
 
