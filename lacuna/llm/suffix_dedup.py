@@ -247,7 +247,10 @@ def covered(docs: DataFrame, *, length: int = LENGTH, prefix: int = PREFIX, crow
         F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "tag", "first", "more")).alias("at")
     )
     spans = cut(spans, "spans")
-    whole = kept.join(spans.filter("n > 1").select("key", "span"), ["key", "span"])
+    # equal rows shrink to almost nothing in a file, so one reader may hold most of a hot span:
+    # dealt out first, a hot span comes from all tasks and the join can split it
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = kept.repartition(parts).join(spans.filter("n > 1").select("key", "span"), ["key", "span"])
     whole = whole.select("doc_id", "tag", F.col("first").alias("begin"), (F.col("first") + F.col("more") + length).alias("end"))
 
     crowds = cut(spans.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "crowds")
