@@ -144,8 +144,8 @@ def src5(spark, sf_dir):
     return state.bytes_by_language(rows)
 
 
-_STATE = """WITH cur AS (SELECT 'd/' || lang || '/' || doc_id || '.txt' AS path, sha256(text || 'v1') AS hash FROM documents WHERE doc_id % 11 <> 3),
-old AS (SELECT 'd/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text || 'v1') END AS hash FROM documents WHERE doc_id % 5 <> 2),
+_STATE = """WITH cur AS (SELECT 'd/' || lang || '/' || doc_id || '.txt' AS path, sha256(text || 'v1') AS hash FROM documents WHERE source <> 'src3'),
+old AS (SELECT 'd/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN source = 'src5' THEN 'x' ELSE sha256(text || 'v1') END AS hash FROM documents WHERE lang <> 'fr'),
 ch AS (SELECT cur.* FROM cur LEFT JOIN old ON old.path = cur.path WHERE old.hash IS DISTINCT FROM cur.hash OR starts_with(cur.path, 'd/de/'))
 """
 
@@ -153,10 +153,11 @@ ch AS (SELECT cur.* FROM cur LEFT JOIN old ON old.path = cur.path WHERE old.hash
 def _state(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents")
     path = F.concat(F.lit("d/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    rows = docs.select("doc_id", path.alias("path"), F.col("text").cast("binary").alias("content"))
-    rows = rows.select("doc_id", "path", state.content_hash("content", "v1").alias("hash"))
-    current = rows.filter("doc_id % 11 <> 3").select("path", "hash")
-    stored = rows.filter("doc_id % 5 <> 2").select("path", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("hash")).alias("hash"))
+    rows = docs.select("lang", "source", path.alias("path"), F.col("text").cast("binary").alias("content"))
+    rows = rows.select("lang", "source", "path", state.content_hash("content", "v1").alias("hash"))
+    # before, French was not there and one source read otherwise; now another source is gone
+    current = rows.filter("source <> 'src3'").select("path", "hash")
+    stored = rows.filter("lang <> 'fr'").select("path", F.when(F.col("source") == "src5", "x").otherwise(F.col("hash")).alias("hash"))
     return current, stored
 
 
@@ -256,13 +257,13 @@ def est3(spark, sf_dir):
 
 @BOOK.add(
     "est4_fit_amdahl",
-    """WITH o AS (SELECT l_linenumber AS jobs, CAST(count(*) AS DOUBLE) AS seconds FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1),
+    """WITH o AS (SELECT l_linenumber AS jobs, CAST(count(*) AS DOUBLE) AS seconds FROM lineitem GROUP BY 1),
 base AS (SELECT seconds AS b FROM o WHERE jobs = 1), m AS (SELECT jobs, b / (seconds / sqrt(jobs)) AS up FROM o, base WHERE jobs > 1),
 g AS (SELECT i / 100.0::DOUBLE AS p FROM range(20, 100) t(i))
 SELECT round(arg_min(p, err), 3) AS p FROM (SELECT p, sum(pow(1 / ((1 - p) + p / jobs) - up, 2)) AS err FROM g, m GROUP BY p)""",
 )
 def est4(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 6").groupBy(F.col("l_linenumber").alias("jobs")).agg(F.count("*").cast("double").alias("seconds"))
+    rows = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("jobs")).agg(F.count("*").cast("double").alias("seconds"))
     return estimator.fit_amdahl(rows.withColumn("seconds", F.col("seconds") / F.sqrt("jobs")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -44,10 +44,9 @@ def write_json(gaps: DataFrame, entities: DataFrame, path: str) -> None:
 
 def sarif_results(gaps: DataFrame, entities: DataFrame) -> DataFrame:
     """One SARIF result a gap; rules are numbered in the order of their ids."""
-    rules = gaps.select("rule_id").distinct()
-    # a rank without one global sort window: each rule counts those before it in a range-sorted list
-    ordered = rules.orderBy("rule_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    number = gaps.sparkSession.createDataFrame(ordered, "rule_id string, rule_index long")
+    # the window sees each rule once, not each gap
+    number = gaps.select("rule_id").distinct()
+    number = number.withColumn("rule_index", F.row_number().over(Window.orderBy("rule_id")) - 1)
     rows = located(gaps, entities).join(number, "rule_id")
     text = F.format_string(
         "`%s` is missing `%s` (%s). %d of %d members of `%s` have it (confidence %.2f).",
