@@ -153,3 +153,11 @@ def test_awkward_rows(awkward, nothing):
     kept = simhash.without_near_duplicates(awkward)
     assert kept.columns == awkward.columns and kept.filter("doc_id = 4 and text = 'one'").count() == 1
     assert kept.filter("doc_id is null").count() == 1
+
+
+def test_release_deletes_what_was_written(spark):
+    from lacuna.llm import common
+
+    common.release(spark)
+    frame = common.cut(spark.range(3), "numbers")
+    assert frame.count() == 3 and common.release(spark) == 1 and common.release(spark) == 0
