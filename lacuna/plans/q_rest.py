@@ -267,7 +267,7 @@ def est4(spark, sf_dir):
     return estimator.fit_amdahl(rows.withColumn("seconds", F.col("seconds") / F.sqrt("jobs")))
 
 
-@BOOK.add("est6_bps", "SELECT * FROM (VALUES ('python', 64000000), ('c', 7), ('bash', 80000000), ('go', 44000000)) t(language, bps)")
+@BOOK.add("est6_bps", "SELECT language, CAST(bps AS BIGINT) AS bps FROM (VALUES ('python', 64000000), ('c', 7), ('bash', 80000000), ('go', 44000000)) t(language, bps)")
 def est6(spark, sf_dir):
     return estimator.bps_table(spark, 2.0, {"c": 7}).filter(F.col("language").isin("python", "c", "bash", "go"))
 

@@ -22,7 +22,7 @@ def _holes(gap: int) -> str:
 
 
 _VALUE = "lpad(CAST(missing AS VARCHAR), 4, '0') || '_*.tbl'"
-_REPORT = """SELECT {g} AS group_id, {v} AS feature_value, support_n, support_total, CAST(support_n AS DOUBLE) / support_total AS confidence,
+_REPORT = """SELECT {g} AS group_id, {v} AS feature_value, support_n, CAST(support_total AS BIGINT) AS support_total, CAST(support_n AS DOUBLE) / support_total AS confidence,
   {g} || '::series=' || {v} AS rule_id, {e} AS entity_id FROM hole"""
 
 
@@ -81,7 +81,7 @@ f AS (SELECT user_id, day, max(CAST(event_type IN ('signup', 'login') AS INT)) A
              max(CAST(event_type = 'purchase' AS INT)) AS c FROM v GROUP BY 1, 2)
 SELECT 'ordinal:funnel::ev/u' || user_id || '.log::D' || day AS group_id,
        CASE WHEN a = 0 THEN 'signup' WHEN b = 0 THEN 'view' ELSE 'purchase' END AS feature_value,
-       'ev/u' || user_id || '.log::D' || day AS entity_id, 2 AS support_n, 3 AS support_total FROM f WHERE a + b + c = 2
+       'ev/u' || user_id || '.log::D' || day AS entity_id, CAST(2 AS BIGINT) AS support_n, CAST(3 AS BIGINT) AS support_total FROM f WHERE a + b + c = 2
 """
 
 

@@ -46,7 +46,7 @@ def sarif_results(gaps: DataFrame, entities: DataFrame) -> DataFrame:
     """One SARIF result a gap; rules are numbered in the order of their ids."""
     # the window sees each rule once, not each gap
     number = gaps.select("rule_id").distinct()
-    number = number.withColumn("rule_index", F.row_number().over(Window.orderBy("rule_id")) - 1)
+    number = number.withColumn("rule_index", (F.row_number().over(Window.orderBy("rule_id")) - 1).cast("long"))
     rows = located(gaps, entities).join(number, "rule_id")
     text = F.format_string(
         "`%s` is missing `%s` (%s). %d of %d members of `%s` have it (confidence %.2f).",
