@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, text_slices
+from .common import bounded_sample, identified, text_slices
 
 WINDOW = 48
 #: A bag counts as so many tokens at least, so that one odd word is not all of a short text.
@@ -64,7 +64,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rolled = np.zeros(len(points), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         shifted = np.zeros(len(points), np.uint64)
-        shifted[: len(points) - n + 1] = mixed[n - 1 :]
+        known = max(0, len(points) - n + 1)
+        shifted[:known] = mixed[len(points) - known :]
         rolled = (rolled * np.uint64(0xC2B2AE3D27D4EB4F)) ^ shifted
         if n in GRAMS:
             at = np.flatnonzero(room >= n)
@@ -131,8 +132,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(_stripped(t), len(index)) for t in tokens(x)], np.int64) for x in texts]
     words, y = list(index), np.array(labels)
-    rows, owners = features(words)
+    rows, owners = [], []
+    for at in range(0, len(words), 20_000):  # slices bound the driver's memory
+        r, o = features(words[at : at + 20_000])
+        rows.append(r.astype(np.int32))
+        owners.append((o + at).astype(np.int32))
+    rows, owners = np.concatenate(rows), np.concatenate(owners)
     table, rows = np.unique(rows, return_inverse=True)
+    rows = rows.astype(np.int32)
     spans = np.append(np.searchsorted(owners, np.arange(len(words))), len(owners))
     in_texts = np.zeros(len(table), np.int64)
     for d in docs:
@@ -151,7 +158,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         used, local = np.unique(flat, return_inverse=True)
         keep = np.isin(owners, used)
         r, o = rows[keep], np.searchsorted(used, owners[keep])
-        return local, np.array([len(b) for b in bags]), r, o, len(used)
+        return local.astype(np.int32), np.array([len(b) for b in bags]), r, o.astype(np.int32), len(used)
 
     def descend(prepared, rate: float) -> None:
         nonlocal step
@@ -206,7 +213,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 2) -> t
     short = one.join(short, "doc_id", "left_semi")
     chosen = None
     for label in (0, 1):
-        some = short.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        some = bounded_sample(short.filter((F.col("toxic") > 0) == bool(label)), SAMPLE, "doc_id")
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most 2 x SAMPLE ids
     rows = text.join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
