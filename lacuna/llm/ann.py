@@ -28,10 +28,10 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import bounded_sample, cut, fresh_path, small_batches
 from .token_files import open_store
 
-STAGES, WORDS, BEAM = 16, 256, 4
+STAGES, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are fitted to, at most.
 SAMPLE = 16_384
 #: Codes reranked for each query.
@@ -90,6 +90,7 @@ def encode(data: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.nd
 
 def valid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``vec_id, embedding`` of the rows that take part."""
+    small_batches(table.sparkSession)
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -135,7 +136,7 @@ def nearest(
     blocks = fresh_path(spark, "queries")
     ask.select("q", "embedding").repartition(-(-n_ask // QUERY_BLOCK)).write.parquet(blocks)
 
-    sample = classes.select("embedding").orderBy("mark").limit(SAMPLE).toPandas()["embedding"]
+    sample = bounded_sample(classes.select("mark", "embedding"), SAMPLE, "mark").toPandas()["embedding"]
     books = spark.sparkContext.broadcast(fit_books(np.stack(sample.to_list()), stages))  # of a fixed size
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
