@@ -45,14 +45,35 @@ def pruned(values: DataFrame, min_confidence: float) -> DataFrame:
     return values.join(value_counts(values).filter(F.col("n") >= least), ["kind", "value"], "left_semi")
 
 
-def eligible(members: DataFrame, features: DataFrame) -> DataFrame:
-    """Group members with the kind's key, whatever its set holds."""
-    return members.select("selector_ord", "selector_type", "name", "group_id", "entity_id").join(features, "entity_id")
+def profiles(features: DataFrame, values: DataFrame) -> DataFrame:
+    """One row an entity: ``kinds``, an array of its kinds with their sets, empty ones included.
+
+    Keys and values meet in a single shuffle by entity, and stay partitioned that way
+    for the join with the members.
+    """
+    rows = features.select("entity_id", "kind", F.lit(None).cast("string").alias("value"))
+    pairs = rows.unionByName(values.select("entity_id", "kind", "value"))
+    packed = pairs.groupBy("entity_id").agg(F.collect_set(F.struct("kind", "value")).alias("pairs"))
+    sets = F.expr(
+        """transform(filter(pairs, p -> p.value IS NULL),
+                     k -> struct(k.kind AS kind, transform(filter(pairs, p -> p.kind = k.kind AND p.value IS NOT NULL), p -> p.value) AS vs))"""
+    )
+    return packed.select("entity_id", sets.alias("kinds"))
+
+
+def eligible(members: DataFrame, profile: DataFrame) -> DataFrame:
+    """Group members with each kind whose key they have, and the kind's set (``vs``)."""
+    rows = members.select("selector_ord", "selector_type", "name", "group_id", "entity_id").join(profile, "entity_id")
+    return rows.select("selector_ord", "selector_type", "name", "group_id", "entity_id", F.inline("kinds"))
+
+
+def group_totals(able: DataFrame) -> DataFrame:
+    return able.groupBy("selector_ord", "selector_type", "name", "group_id", "kind").agg(F.count("*").alias("support_total"))
 
 
-def group_counts(members: DataFrame, values: DataFrame) -> DataFrame:
+def group_counts(able: DataFrame) -> DataFrame:
     """Members of each group that have each value."""
-    found = members.select("group_id", "entity_id").join(values, "entity_id")
+    found = able.select("group_id", "kind", F.explode("vs").alias("value"))
     return found.groupBy("group_id", "kind", "value").agg(F.count("*").alias("support_n"))
 
 
@@ -66,14 +87,13 @@ def mine(
 ) -> Findings:
     """All kinds in one pass, with the kind as a grouping column."""
     kinds = kinds or MINED_KINDS
-    features = features.filter(F.col("kind").isin(*kinds)).distinct()
-    values = pruned(values.filter(F.col("kind").isin(*kinds)).distinct(), min_confidence)
-    able = eligible(members, features)
-    totals = able.groupBy("selector_ord", "selector_type", "name", "group_id", "kind").agg(F.count("*").alias("support_total"))
+    features = features.filter(F.col("kind").isin(*kinds))
+    values = pruned(values.filter(F.col("kind").isin(*kinds)), min_confidence)
+    able = eligible(members, profiles(features, values))
     confidence = F.col("support_n").cast("double") / F.col("support_total")
     # a group's own identity is no finding
     identity = (F.col("selector_type") == F.col("kind")) & (F.col("name") == F.col("value"))
-    rules = group_counts(members, values).join(totals, ["group_id", "kind"]).withColumn("confidence", confidence)
+    rules = group_counts(able).join(group_totals(able), ["group_id", "kind"]).withColumn("confidence", confidence)
     rules = rules.filter((F.col("confidence") >= min_confidence) & ~identity)
     rules = rules.select(
         strategy_order(kinds).cast("int").alias("strategy_ord"),
@@ -87,9 +107,9 @@ def mine(
         names.rule_id("group_id", "kind", "value").alias("rule_id"),
     )
     broken = rules.filter("support_n < support_total")  # a unanimous rule has no gap to look for
-    asked = broken.join(able.select("group_id", F.col("kind").alias("feature_kind"), "entity_id"), ["group_id", "feature_kind"])
-    have = values.select("entity_id", F.col("kind").alias("feature_kind"), F.col("value").alias("feature_value"))
-    gaps = asked.join(have, ["entity_id", "feature_kind", "feature_value"], "left_anti")
+    sets = able.select("group_id", F.col("kind").alias("feature_kind"), "entity_id", "vs")
+    # whoever lacks the value is known from the set at hand: no anti-join with all values
+    gaps = broken.join(sets, ["group_id", "feature_kind"]).filter(~F.array_contains("vs", F.col("feature_value")))
     itself = (F.col("feature_kind") == "parent_class") & (names.last_segment("entity_id") == F.col("feature_value"))
     gaps = with_gap_ids(gaps.filter(~itself))
     return Findings(rules.select(*RULE_COLUMNS), gaps)

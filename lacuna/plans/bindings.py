@@ -204,3 +204,40 @@ runs AS (SELECT strftime(d, '%Y%m%d') AS run_id, d AS ts, CASE WHEN day(d) % 7 =
                sum(CASE WHEN event_type = 'click' THEN 1.0::DOUBLE ELSE 0 END) AS mine_ms,
                CAST(count(*) FILTER (event_type = 'view') AS DOUBLE) AS finalize_ms FROM events GROUP BY 1))
 """
+
+
+def lines(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Order lines as functions in the directory of the month they were shipped in."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf_dir, "lineitem").dropDuplicates(keys)
+    path = F.concat(F.lit("ship/"), F.date_format("l_shipdate", "yyyyMM"), F.lit("/l.tbl"))
+    name = F.concat_ws("_", *[F.col(k).cast("string") for k in keys])
+    rows = rows.select(
+        F.concat(path, F.lit("::"), name).alias("entity_id"), path.alias("file_path"), F.col("l_orderkey").alias("ordinal"),
+        "l_returnflag", "l_linestatus", "l_tax", "l_discount", "l_quantity",
+    )
+    entities = rows.select(
+        "entity_id", F.lit("function").alias("kind"), F.col("entity_id").alias("qualified_name"), "file_path", F.lit(1).alias("line"), "ordinal"
+    )
+    # one pass over the lines makes all their values
+    found = F.array(
+        F.struct(F.lit("decorator").alias("kind"), F.concat(F.lit("@"), F.col("l_returnflag")).alias("value")),
+        F.struct(F.lit("calls").alias("kind"), F.col("l_linestatus").alias("value")),
+        F.struct(F.lit("calls").alias("kind"), F.when(F.col("l_tax") > 0, "tax").alias("value")),
+        F.struct(F.lit("calls").alias("kind"), F.when(F.col("l_discount") > 0.01, "discount").alias("value")),
+        F.struct(F.lit("has_docstring").alias("kind"), F.when(F.col("l_quantity") > 5, "docstring").alias("value")),
+    )
+    values = rows.select("entity_id", F.inline(found)).filter("value is not null")
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("decorator", "calls", "has_docstring")])).alias("kind")
+    return Corpus(entities, rows.select("entity_id", kinds), values)
+
+
+LINES_SQL = """
+li AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) *, 'ship/' || strftime(l_shipdate, '%Y%m') || '/l.tbl' AS p,
+       'ship/' || strftime(l_shipdate, '%Y%m') || '/l.tbl::' || l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS id FROM lineitem),
+ent AS (SELECT id AS entity_id, 'function' AS kind, id AS qualified_name, p AS file_path, 1 AS line, l_orderkey AS ordinal FROM li),
+vals AS (SELECT id AS entity_id, 'decorator' AS kind, '@' || l_returnflag AS value FROM li UNION ALL SELECT id, 'calls', l_linestatus FROM li
+  UNION ALL SELECT id, 'calls', 'tax' FROM li WHERE l_tax > 0 UNION ALL SELECT id, 'calls', 'discount' FROM li WHERE l_discount > 0.01
+  UNION ALL SELECT id, 'has_docstring', 'docstring' FROM li WHERE l_quantity > 5),
+feats AS (SELECT id AS entity_id, unnest(['decorator', 'calls', 'has_docstring']) AS kind FROM li)
+"""

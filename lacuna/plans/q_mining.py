@@ -14,8 +14,7 @@ BOOK = Book()
 RULES = ["group_id", "feature_kind", "feature_value", "support_n", "support_total", "confidence", "rule_id"]
 GAPS = ["rule_id", "entity_id", "gap_id", "short_id"]
 
-_MEMBERS = f"""
-WITH {b.MARKET_SQL},
+_GROUPED = """,
 dirs AS (SELECT regexp_replace(file_path, '/[^/]*$', '') AS name, entity_id FROM ent WHERE kind IN ('function', 'class', 'module')),
 mem AS (SELECT 0 AS o, 'directory' AS selector_type, name, 'directory::' || name AS group_id, entity_id FROM dirs
         UNION ALL SELECT 1, 'decorator', value, 'decorator::' || value, entity_id FROM vals
@@ -36,6 +35,8 @@ gaps AS (SELECT r.*, a.entity_id, r.rule_id || '::' || a.entity_id AS gap_id FRO
          WHERE NOT EXISTS (SELECT 1 FROM vals v WHERE v.entity_id = a.entity_id AND v.kind = r.feature_kind AND v.value = r.feature_value)
            AND NOT (r.feature_kind = 'parent_class' AND split_part(a.entity_id, '::', -1) = r.feature_value))
 """
+_MEMBERS = f"WITH {b.MARKET_SQL}{_GROUPED}"
+_LINES = f"WITH {b.LINES_SQL}{_GROUPED}"
 _SHORT = "'g-' || substr(sha256(gap_id), 1, 7) AS short_id"
 
 
@@ -94,13 +95,14 @@ def min2(spark, sf_dir):
 @BOOK.add("min3_eligible_totals", _MEMBERS + "SELECT * FROM tot")
 def min3(spark, sf_dir):
     c = b.market(spark, sf_dir)
-    return frequency.eligible(_all_members(c), c.features).groupBy("group_id", "kind").agg(F.count("*").alias("support_total"))
+    able = frequency.eligible(_all_members(c), frequency.profiles(c.features, c.values))
+    return frequency.group_totals(able).select("group_id", "kind", "support_total")
 
 
 @BOOK.add("min4_group_counts", _MEMBERS + "SELECT group_id, kind, value, support_n FROM cnt")
 def min4(spark, sf_dir):
     c = b.market(spark, sf_dir)
-    return frequency.group_counts(_all_members(c), c.values)
+    return frequency.group_counts(frequency.eligible(_all_members(c), frequency.profiles(c.features, c.values)))
 
 
 @BOOK.add("min5_rules", _MEMBERS + "SELECT * FROM rules")
@@ -438,3 +440,19 @@ def view7(spark, sf_dir):
 def view8(spark, sf_dir):
     local = spark.createDataFrame([("g-0", "full", "why")], "short_id string, full_id string, reason string")
     return views.suppressions_view(local, spark.createDataFrame(PROJECT, "entity string, rule string, scope string, reason string"))
+
+
+def _lines(spark, sf_dir):
+    c = b.lines(spark, sf_dir)
+    members = selectors.union_groups(selectors.directory_groups(c.entities), selectors.decorator_groups(c.values))
+    return frequency.mine(members, c.features, c.values)
+
+
+@BOOK.add("min5_line_rules", _LINES + "SELECT * FROM rules")
+def min5_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).rules.select(*RULES)
+
+
+@BOOK.add("min6_line_gaps", _LINES + f"SELECT rule_id, entity_id, gap_id, {_SHORT} FROM gaps")
+def min6_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).gaps.select(*GAPS)
