@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -61,20 +61,24 @@ def profiles(features: DataFrame, values: DataFrame) -> DataFrame:
     return packed.select("entity_id", sets.alias("kinds"))
 
 
-def eligible(members: DataFrame, profile: DataFrame) -> DataFrame:
-    """Group members with each kind whose key they have, and the kind's set (``vs``)."""
-    rows = members.select("selector_ord", "selector_type", "name", "group_id", "entity_id").join(profile, "entity_id")
-    return rows.select("selector_ord", "selector_type", "name", "group_id", "entity_id", F.inline("kinds"))
+def eligible(members: DataFrame, features: DataFrame) -> DataFrame:
+    """Group members with each kind whose key they have."""
+    return members.join(features, "entity_id")
 
 
-def group_totals(able: DataFrame) -> DataFrame:
-    return able.groupBy("selector_ord", "selector_type", "name", "group_id", "kind").agg(F.count("*").alias("support_total"))
+def group_counts(members: DataFrame, features: DataFrame, values: DataFrame) -> DataFrame:
+    """Members of each group with each value, and with the kind's key at all (``support_total``).
 
-
-def group_counts(able: DataFrame) -> DataFrame:
-    """Members of each group that have each value."""
-    found = able.select("group_id", "kind", F.explode("vs").alias("value"))
-    return found.groupBy("group_id", "kind", "value").agg(F.count("*").alias("support_n"))
+    Keys count as a null value, so one join and one aggregation give both numbers; the
+    window runs over the counts.
+    """
+    rows = features.select("entity_id", "kind", F.lit(None).cast("string").alias("value"))
+    rows = rows.unionByName(values.select("entity_id", "kind", "value"))
+    found = members.select("selector_ord", "selector_type", "name", "group_id", "entity_id").join(rows, "entity_id")
+    counts = found.groupBy("selector_ord", "selector_type", "name", "group_id", "kind", "value").agg(F.count("*").alias("support_n"))
+    of_kind = Window.partitionBy("group_id", "kind")
+    total = F.max(F.when(F.col("value").isNull(), F.col("support_n"))).over(of_kind)
+    return counts.withColumn("support_total", total).filter("value is not null and support_total is not null")
 
 
 def mine(
@@ -89,11 +93,10 @@ def mine(
     kinds = kinds or MINED_KINDS
     features = features.filter(F.col("kind").isin(*kinds))
     values = pruned(values.filter(F.col("kind").isin(*kinds)), min_confidence)
-    able = eligible(members, profiles(features, values))
     confidence = F.col("support_n").cast("double") / F.col("support_total")
     # a group's own identity is no finding
     identity = (F.col("selector_type") == F.col("kind")) & (F.col("name") == F.col("value"))
-    rules = group_counts(able).join(group_totals(able), ["group_id", "kind"]).withColumn("confidence", confidence)
+    rules = group_counts(members, features, values).withColumn("confidence", confidence)
     rules = rules.filter((F.col("confidence") >= min_confidence) & ~identity)
     rules = rules.select(
         strategy_order(kinds).cast("int").alias("strategy_ord"),
@@ -107,7 +110,8 @@ def mine(
         names.rule_id("group_id", "kind", "value").alias("rule_id"),
     )
     broken = rules.filter("support_n < support_total")  # a unanimous rule has no gap to look for
-    sets = able.select("group_id", F.col("kind").alias("feature_kind"), "entity_id", "vs")
+    sets = members.select("group_id", "entity_id").join(profiles(features, values), "entity_id")
+    sets = sets.select("group_id", "entity_id", F.inline("kinds")).withColumnRenamed("kind", "feature_kind")
     # whoever lacks the value is known from the set at hand: no anti-join with all values
     gaps = broken.join(sets, ["group_id", "feature_kind"]).filter(~F.array_contains("vs", F.col("feature_value")))
     itself = (F.col("feature_kind") == "parent_class") & (names.last_segment("entity_id") == F.col("feature_value"))

@@ -95,14 +95,15 @@ def min2(spark, sf_dir):
 @BOOK.add("min3_eligible_totals", _MEMBERS + "SELECT * FROM tot")
 def min3(spark, sf_dir):
     c = b.market(spark, sf_dir)
-    able = frequency.eligible(_all_members(c), frequency.profiles(c.features, c.values))
-    return frequency.group_totals(able).select("group_id", "kind", "support_total")
+    able = frequency.eligible(_all_members(c), c.features)
+    return able.groupBy("group_id", "kind").agg(F.count("*").alias("support_total"))
 
 
 @BOOK.add("min4_group_counts", _MEMBERS + "SELECT group_id, kind, value, support_n FROM cnt")
 def min4(spark, sf_dir):
     c = b.market(spark, sf_dir)
-    return frequency.group_counts(frequency.eligible(_all_members(c), frequency.profiles(c.features, c.values)))
+    found = frequency.group_counts(_all_members(c), c.features, c.values)
+    return found.select("group_id", "kind", "value", "support_n")
 
 
 @BOOK.add("min5_rules", _MEMBERS + "SELECT * FROM rules")

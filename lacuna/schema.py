@@ -7,6 +7,8 @@ members   selector_ord, selector_type, name, group_id, entity_id
 rules     strategy_ord, emit, group_id, feature_kind, feature_value, support_n,
           support_total, confidence, rule_id
 gaps      the rule's columns, entity_id, gap_id, short_id
+
+Entities are unique by id; features and values hold each row once.
 """
 
 from __future__ import annotations
