@@ -17,8 +17,8 @@ _ORDER = {"directory": 0, "decorator": 1, "parent_class": 2}
 
 
 def _members(rows: DataFrame, selector: str, min_members: int) -> DataFrame:
-    """Keep the groups (column ``name``) that have enough distinct members."""
-    rows = rows.select("name", "entity_id").distinct()
+    """Keep the groups (column ``name``) that have enough members; a member occurs once a group."""
+    rows = rows.select("name", "entity_id")
     # counts combine map-side, so a group that holds much of the corpus costs one row a task
     large = rows.groupBy("name").agg(F.count("*").alias("n_members")).filter(F.col("n_members") >= min_members)
     kept = rows.join(large, "name")
