@@ -41,7 +41,7 @@ GRAMS = (3, 4, 5)
 TABLE = 1 << 18
 DIM = 8
 #: Labelled texts of each class that training sees at most.
-SAMPLE = 3000
+SAMPLE = 2400
 SAMPLE_CHARS = 20_000
 THRESHOLD = 0.3
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—“”‘’"
