@@ -17,7 +17,7 @@ from string import punctuation
 import numpy as np
 
 #: Words a worker remembers at most.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Longer words seldom return and are not remembered.
 MEMO_CHARS = 12
 SEEN_SLOTS = 1 << 22

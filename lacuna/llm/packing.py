@@ -86,7 +86,8 @@ def pieces(
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces."""
-    counts = cut(found.groupBy("class", "bucket").agg(F.count("*").alias("n")), "class-counts")
+    # a few rows a task: many small files would cost more than the counts themselves
+    counts = cut(found.groupBy("class", "bucket").agg(F.count("*").alias("n")).coalesce(16), "class-counts")
     earlier = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         "class",
