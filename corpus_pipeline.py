@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, line_dedup, packing, simhash, toxicity
+from lacuna.llm import decontaminate, line_dedup, packing, similar, toxicity
 from lacuna.llm.common import cut
 
 #: Documents that score this or more are rejected.
@@ -35,8 +35,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each group linked by a five-word similarity of 0.8 or more."""
+    return similar.without_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

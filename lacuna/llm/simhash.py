@@ -178,7 +178,11 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
     Of rows equal in id and text one stays, whichever; all columns are as they were.
     """
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
+    return firsts(docs, cut(near_duplicates(docs, id_col=id_col, text_col=text_col), "near"), id_col=id_col, text_col=text_col)
+
+
+def firsts(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each component in ``found`` (``doc_id, tag, component`` of every row)."""
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tag")
     first = found.groupBy("component").agg(F.min(place).alias("first"))
     first = cut(first.select("first.doc_id", "first.tag"), "first")
