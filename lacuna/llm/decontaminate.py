@@ -140,7 +140,11 @@ def contaminated(
     blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)]))
     probes = prints.select(*window, "n", "fp", blocks.alias("b")).select(*window, "n", "fp", "b.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = probes.join(index, [*item, "block", "value"]).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
+    index = index.select(*[F.col(c).alias(f"of_{c}") for c in (*item, "block", "value")], "item_fp", "item_n")
+    on = F.col("item_id").eqNullSafe(F.col("of_item_id"))
+    for c in ("variant", "block", "value"):
+        on = on & (F.col(c) == F.col(f"of_{c}"))
+    near = probes.join(index, on).withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
     near = cut(near.select(*window, "n", "item_n", "distance").distinct(), "near")
 
     pick = near.select(*[F.col(c).alias(f"near_{c}") for c in window], F.col("n").alias("near_n"), F.col("item_n").alias("near_item_n"), "distance")
