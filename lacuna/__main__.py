@@ -49,12 +49,15 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
         )
         statistics = result.statistics().head().asDict()
         if args.report == "sarif":
-            shown = reports.sarif_document(result.gaps, result.corpus.entities, args.path)
+            shown = reports.sarif_chunks(result.gaps, result.corpus.entities, args.path)
         elif args.report == "json":
-            shown = reports.json_document(result.gaps, result.corpus.entities, statistics)
+            shown = reports.json_chunks(result.gaps, result.corpus.entities, statistics)
         else:
             render = {"text": reports.text, "markdown": reports.markdown, "html": reports.page}[args.report]
-            shown = render(result.gaps, result.corpus.entities)
+            shown = [render(result.gaps, result.corpus.entities)]
+        if not args.quiet:
+            for part in shown:
+                print(part, end="")
         stamp = datetime.now(UTC).isoformat()
         sizes = {r.language: r.bytes for r in files.corpus_shape(now).collect()}
         record = {"run_id": stamp, "ts": stamp, "version": calibration.VERSION, "cores": spark.sparkContext.defaultParallelism}
@@ -62,8 +65,6 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
         store.append_run(record)
         (store.root / "last_run.json").write_text(json.dumps(record, indent=2))
         result.release()
-    if not args.quiet:
-        print(shown, end="")
     return finalize.exit_code(statistics["gaps"], args.max_gaps)
 
 

@@ -1,9 +1,16 @@
-"""Findings as documents for people and tools; only what is shown is collected."""
+"""Findings as documents for people and tools.
+
+Text, Markdown and HTML show the most confident ``SHOWN`` gaps and say how many there
+are; JSON and SARIF hold every gap and are streamed, a partition at a time.
+"""
 
 from __future__ import annotations
 
 import html
 import json
+import textwrap
+import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -11,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .tables import json_rows, located, sarif_results
 
-#: Rows that a rendered report shows; the tables hold them all.
+#: Rows that a report for people shows.
 SHOWN = 10_000
 TOOL = "lacuna"
 EXTENSIONS = {"markdown": ".md", "html": ".html", "text": ".txt", "json": ".json", "csv": ".csv", "sarif": ".sarif"}
@@ -25,6 +32,10 @@ def _rows(gaps: DataFrame, entities: DataFrame, limit: int) -> list:
     return located(gaps, entities).orderBy(F.desc("confidence"), "strategy_ord", "emit", "entity_id").limit(limit).collect()
 
 
+def _shown(rows: list, gaps: DataFrame) -> str:
+    return f"{len(rows)} gaps shown, {gaps.count()} in all"
+
+
 def _sentence(r) -> str:
     return f"missing {r.feature_value} ({r.feature_kind}; {r.support_n} of {r.support_total} in {r.group_id}, {r.confidence:.2f})"
 
@@ -32,7 +43,7 @@ def _sentence(r) -> str:
 def text(gaps: DataFrame, entities: DataFrame, limit: int = SHOWN) -> str:
     rows = _rows(gaps, entities, limit)
     body = [f"{r.short_id}  {r.file_path}:{r.line}  {r.qualified_name}  {_sentence(r)}" for r in rows]
-    return "\n".join([*body, f"{len(rows)} gaps shown", ""])
+    return "\n".join([*body, _shown(rows, gaps), ""])
 
 
 def markdown(gaps: DataFrame, entities: DataFrame, limit: int = SHOWN) -> str:
@@ -43,7 +54,7 @@ def markdown(gaps: DataFrame, entities: DataFrame, limit: int = SHOWN) -> str:
 
     head = ["# Gaps", "", "| id | where | what | finding |", "|---|---|---|---|"]
     body = [f"| `{r.short_id}` | {cell(r.file_path)}:{r.line} | `{cell(r.qualified_name)}` | {cell(_sentence(r))} |" for r in rows]
-    return "\n".join([*head, *body, ""])
+    return "\n".join([*head, *body, "", _shown(rows, gaps), ""])
 
 
 def page(gaps: DataFrame, entities: DataFrame, limit: int = SHOWN) -> str:
@@ -53,45 +64,72 @@ def page(gaps: DataFrame, entities: DataFrame, limit: int = SHOWN) -> str:
         f"<td><code>{html.escape(r.qualified_name)}</code></td><td>{html.escape(_sentence(r))}</td></tr>\n"
         for r in rows
     )
-    return f"<!doctype html>\n<meta charset='utf-8'><title>Gaps</title>\n<h1>Gaps</h1>\n<table>\n{body}</table>\n"
-
-
-def json_document(gaps: DataFrame, entities: DataFrame, statistics: dict, limit: int = SHOWN) -> str:
-    found = [r.asDict(recursive=True) for r in json_rows(gaps, entities).orderBy("id").limit(limit).collect()]
-    summary = {"gaps": len(found), "rules": statistics.get("rules", 0)}
-    return json.dumps({"scan": statistics, "summary": summary, "gaps": found}, indent=2, ensure_ascii=False) + "\n"
-
-
-def sarif_document(gaps: DataFrame, entities: DataFrame, root: str, limit: int = SHOWN) -> str:
-    rows = sarif_results(gaps, entities).orderBy("rule_index", "gap_id").limit(limit).collect()
-    rules = {r.rule_id: r for r in rows}
-    described = [
-        {
-            "id": i,
-            "name": f"{r.feature_kind}/{r.feature_value}",
-            "shortDescription": {"text": f"Members of `{r.group_id}` typically have `{r.feature_value}`."},
-            "defaultConfiguration": {"level": r.level},
-            "properties": {"support_n": r.support_n, "support_total": r.support_total, "confidence": round(r.confidence, 4)},
-        }
-        for i, r in rules.items()
-    ]
-    place = {i: n for n, i in enumerate(rules)}
-    results = [
-        {
-            "ruleId": r.rule_id,
-            "ruleIndex": place[r.rule_id],
-            "level": r.level,
-            "message": {"text": r.message},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.file_path}, "region": {"startLine": r.line}}}],
-            "fingerprints": {f"{TOOL}/v1": r.gap_id},
-            "partialFingerprints": {"primary": r.short_id},
-        }
-        for r in rows
-    ]
+    return f"<!doctype html>\n<meta charset='utf-8'><title>Gaps</title>\n<h1>Gaps</h1>\n<table>\n{body}</table>\n<p>{_shown(rows, gaps)}</p>\n"
+
+
+def _filled(document: dict, lists: dict[str, Iterable]) -> Iterator[str]:
+    """The document as ``json.dumps`` with an indent writes it, each marker replaced by a list's items."""
+    rest = json.dumps(document, indent=2, ensure_ascii=False) + "\n"
+    for marker, items in lists.items():
+        head, rest = rest.split(json.dumps(marker), 1)
+        margin = head[head.rindex("\n") + 1 :]
+        yield head.rstrip()
+        n = -1
+        for n, item in enumerate(items):
+            yield (",\n" if n else "\n") + textwrap.indent(json.dumps(item, indent=2, ensure_ascii=False), margin)
+        rest = rest.lstrip() if n < 0 else rest
+    yield rest
+
+
+def json_chunks(gaps: DataFrame, entities: DataFrame, statistics: dict) -> Iterator[str]:
+    """Every gap as JSON, in parts of the document."""
+    rows, here = json_rows(gaps, entities), uuid.uuid4().hex
+    summary = {"gaps": rows.count(), "rules": statistics.get("rules", 0)}
+    found = (r.asDict(recursive=True) for r in rows.orderBy("id").toLocalIterator())
+    return _filled({"scan": statistics, "summary": summary, "gaps": [here]}, {here: found})
+
+
+def json_document(gaps: DataFrame, entities: DataFrame, statistics: dict) -> str:
+    return "".join(json_chunks(gaps, entities, statistics))
+
+
+def _described(r) -> dict:
+    return {
+        "id": r.rule_id,
+        "name": f"{r.feature_kind}/{r.feature_value}",
+        "shortDescription": {"text": f"Members of `{r.group_id}` typically have `{r.feature_value}`."},
+        "defaultConfiguration": {"level": r.level},
+        "properties": {"support_n": r.support_n, "support_total": r.support_total, "confidence": round(r.confidence, 4)},
+    }
+
+
+def _result(r) -> dict:
+    return {
+        "ruleId": r.rule_id,
+        "ruleIndex": r.rule_index,
+        "level": r.level,
+        "message": {"text": r.message},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.file_path}, "region": {"startLine": r.line}}}],
+        "fingerprints": {f"{TOOL}/v1": r.gap_id},
+        "partialFingerprints": {"primary": r.short_id},
+    }
+
+
+def sarif_chunks(gaps: DataFrame, entities: DataFrame, root: str) -> Iterator[str]:
+    """Every gap and its rule as SARIF, in parts of the document."""
+    rows = sarif_results(gaps, entities)
+    rules = rows.dropDuplicates(["rule_id"]).orderBy("rule_index").toLocalIterator()
+    results = rows.orderBy("rule_index", "gap_id").toLocalIterator()
+    of_rules, of_results = uuid.uuid4().hex, uuid.uuid4().hex
     run = {
-        "tool": {"driver": {"name": TOOL, "rules": described}},
-        "results": results,
+        "tool": {"driver": {"name": TOOL, "rules": [of_rules]}},
+        "results": [of_results],
         "originalUriBaseIds": {"ROOTPATH": {"uri": Path(root).absolute().as_uri()}},
         "invocations": [{"executionSuccessful": True}],
     }
-    return json.dumps({"version": "2.1.0", "runs": [run]}, indent=2, ensure_ascii=False) + "\n"
+    lists = {of_rules: (_described(r) for r in rules), of_results: (_result(r) for r in results)}
+    return _filled({"version": "2.1.0", "runs": [run]}, lists)
+
+
+def sarif_document(gaps: DataFrame, entities: DataFrame, root: str) -> str:
+    return "".join(sarif_chunks(gaps, entities, root))
