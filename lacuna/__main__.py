@@ -19,7 +19,6 @@ from .sinks import reports
 from .sources import calibration, config, extract, files, state
 
 STATE = ".lacuna"
-SUPPRESSION = "short_id string, full_id string, reason string, created_at timestamp"
 
 
 def _config(args: argparse.Namespace) -> config.Config:
@@ -38,14 +37,11 @@ def check(spark: SparkSession, args: argparse.Namespace) -> int:
     with store.lock():
         now = registry.with_language(files.source_files(spark, args.path, excludes=list(chosen.exclude)), list(chosen.languages) or None)
         rows = scan.refresh(spark, now, store, registry, cold=args.cold)
-        everything = registry.with_language(files.source_files(spark, args.path), list(chosen.languages) or None)
         result = scan.scan_corpus(
             extract.corpus(state.last_definitions(rows)),
             chosen,
-            registered=config.registered_entry_points(spark, Path(args.path)),
-            texts=files.texts(everything),
-            local=store.read("suppressions", SUPPRESSION),
-            project=config.project_suppressions(spark, Path(args.path)),
+            local=store.read("suppressions", scan.SUPPRESSION),
+            **scan.tree_inputs(spark, args.path, chosen, registry),
         )
         statistics = result.statistics().head().asDict()
         if args.report == "sarif":
@@ -107,7 +103,7 @@ def suppress(spark: SparkSession, args: argparse.Namespace) -> int:
             )
             store.suppress(row)
         else:
-            for row in store.read("suppressions", SUPPRESSION).orderBy("short_id").collect():
+            for row in store.read("suppressions", scan.SUPPRESSION).orderBy("short_id").collect():
                 print(row.short_id, row.reason)
     return 0
 

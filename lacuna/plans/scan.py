@@ -108,30 +108,33 @@ def scan_corpus(
     return ScanResult(corpus, members, found, gaps, kept)
 
 
-def scan_tree(spark: SparkSession, root: str, config: settings.Config | None = None, *, local: DataFrame | None = None) -> ScanResult:
-    """Scan a directory of source files."""
+def tree_inputs(spark: SparkSession, root: str, config: settings.Config, registry: extract.Registry) -> dict[str, DataFrame]:
+    """What a scan takes from a tree besides its corpus: entry points, sources and suppressions."""
     from pathlib import Path
 
+    here = Path(root)
+    # the token pass reads every source, excluded ones too
+    everything = registry.with_language(files.source_files(spark, root), list(config.languages) or None)
+    return {
+        "registered": settings.registered_entry_points(spark, here),
+        "texts": files.texts(everything),
+        "project": settings.project_suppressions(spark, here),
+    }
+
+
+def scan_tree(spark: SparkSession, root: str, config: settings.Config | None = None, *, local: DataFrame | None = None) -> ScanResult:
+    """Scan a directory of source files."""
     config = config or settings.Config()
     registry = extract.Registry.discover()
     found = files.source_files(spark, root, excludes=list(config.exclude))
     found = registry.with_language(found, list(config.languages) or None)
     corpus = extract.corpus(state.last_definitions(registry.extract(found)))
-    here = Path(root)
-    # the token pass reads every source, excluded ones too
-    everything = registry.with_language(files.source_files(spark, root), list(config.languages) or None)
-    return scan_corpus(
-        corpus,
-        config,
-        registered=settings.registered_entry_points(spark, here),
-        texts=files.texts(everything),
-        local=local,
-        project=settings.project_suppressions(spark, here),
-    )
+    return scan_corpus(corpus, config, local=local, **tree_inputs(spark, root, config, registry))
 
 
 _EXTRACTED = "entity_id string, kind string, qualified_name string, file_path string, line int, ordinal long, features map<string,array<string>>"
 _FILES = "path string, hash string"
+SUPPRESSION = "short_id string, full_id string, reason string, created_at timestamp"
 
 
 def refresh(spark: SparkSession, files_now: DataFrame, store: state.StateStore, registry: extract.Registry, cold: list[str] | None = None) -> DataFrame:

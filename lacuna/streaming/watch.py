@@ -38,7 +38,9 @@ def watch(
     def batch(_: DataFrame, number: int) -> None:
         now = registry.with_language(files.source_files(spark, root, excludes=list(config.exclude)), list(config.languages) or None)
         rows = scan.refresh(spark, now, store, registry)
-        result = scan.scan_corpus(extract.corpus(state.last_definitions(rows)), config)
+        local = store.read("suppressions", scan.SUPPRESSION)
+        inputs = scan.tree_inputs(spark, root, config, registry)
+        result = scan.scan_corpus(extract.corpus(state.last_definitions(rows)), config, local=local, **inputs)
         report(result, number)
         result.release()
 
