@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +19,23 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one, but only if driver and executors are one process.
+    """
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    known = spark.conf.get("lacuna.shared.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="lacuna-")
-        spark.conf.set("lacuna.shared.dir", known)
-    return known
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lacuna-")
+    return _own[context.applicationId]
 
 
 _made: list[str] = []
@@ -77,6 +86,20 @@ def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(order, *keys).limit(n)
 
 
+def within_bytes(rows: DataFrame, column: str, limit: int, *keys: str) -> DataFrame:
+    """Of boundedly many rows those that come first by a hash of ``keys`` and hold ``limit`` bytes in all."""
+    rows = cut(rows, "sample")
+    sizes = rows.select(*keys, F.octet_length(column).alias("bytes")).orderBy(F.xxhash64(*keys), *keys).toArrow()
+    fits = np.cumsum(sizes["bytes"].to_numpy()) <= limit
+    if fits.all():
+        return rows
+    few = rows.sparkSession.createDataFrame(sizes.filter(pa.array(fits)).select(list(keys)))
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(few[k])
+    return rows.join(F.broadcast(few), on, "left_semi")
+
+
 def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint when ``rows`` of ``row_bytes`` fit the bound, else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

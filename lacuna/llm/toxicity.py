@@ -10,9 +10,13 @@ then each document's most toxic window of ``WINDOW`` tokens, picked anew as
 training goes on.  A text's score is that of its most toxic window, so one abusive
 passage shows in a long document; all of the text is read.
 
+Only subwords whose share of toxic and of clean training texts differs by more than
+chance among so many are learnt; with few labelled texts the others could only be
+learnt by heart.
+
 The classifier learns from at most ``SAMPLE`` labelled texts of either class, the
-first by a hash of the id, each of at most ``SAMPLE_CHARS`` characters (longer
-ones are not sampled); scores cover every row.  Null labels teach nothing, several
+first by a hash of the id, whole texts of any length, as far as they come to
+``SAMPLE_BYTES``; scores cover every row.  Null labels teach nothing, several
 labels of an id count as the largest.  Null and empty texts are scored as an empty
 bag.  Repeated rows and null ids are scored row by row; a null id is not held out.
 An empty table gives no rows.  Without labels of both classes every score is 0.
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, identified, text_slices
+from .common import bounded_sample, identified, text_slices, within_bytes
 
 WINDOW = 48
 #: A bag counts as so many tokens at least, so that one odd word is not all of a short text.
@@ -36,13 +40,17 @@ LEAST = 24
 #: Subwords in fewer training texts stay at zero: they can only be learnt by heart.
 MIN_TEXTS = 4
 #: What steps are damped by: rows that move few texts move little.
-EPS = 5e-5
+EPS = 1e-6
+#: How strongly embeddings are drawn to zero.
+DECAY = 1e-5
+#: What the toxic class counts for in training, whatever its share of the sample.
+PRIOR = 0.35
 GRAMS = (3, 4, 5)
 TABLE = 1 << 18
 DIM = 8
-#: Labelled texts of each class that training sees at most.
+#: Labelled texts of each class that training sees at most, and their bytes in all.
 SAMPLE = 2400
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.3
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—“”‘’"
 #: Tokens a worker remembers at most, and their longest.
@@ -124,13 +132,31 @@ class Model:
         return np.bincount(owners, self.pull[rows], n) / np.bincount(owners, minlength=n)
 
 
+def _screened(rows: np.ndarray, spans: np.ndarray, docs: list[np.ndarray], y: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows whose share of toxic and of clean texts differ by more than chance among so many rows.
+
+    The bound is the universal threshold, sqrt(2 ln n) deviations: the largest of ``n``
+    chance differences stays under it.
+    """
+    held = np.zeros((2, n_rows))
+    for d, label in zip(docs, y, strict=True):
+        if len(d):
+            held[label, np.unique(np.concatenate([rows[spans[i] : spans[i + 1]] for i in set(d.tolist())]))] += 1
+    sizes = np.array([max(1, (y == k).sum()) for k in (0, 1)])
+    tried = held.sum(0) >= MIN_TEXTS
+    share = held.sum(0) / sizes.sum()
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / sizes).sum())
+    apart = np.abs(held[1] / sizes[1] - held[0] / sizes[0]) / spread
+    return tried & (apart > np.sqrt(2 * np.log(max(2, tried.sum()))))
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Fit on whole bags, then on each text's most toxic window."""
     if len(set(labels)) < 2:
         return Model(np.zeros(TABLE), -50.0)
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(_stripped(t), len(index)) for t in tokens(x)], np.int64) for x in texts]
+    docs = [np.array([index.setdefault(_stripped(t), len(index)) for t in tokens(x)], np.int32) for x in texts]
     words, y = list(index), np.array(labels)
     rows, owners = [], []
     for at in range(0, len(words), 20_000):  # slices bound the driver's memory
@@ -138,55 +164,54 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         rows.append(r.astype(np.int32))
         owners.append((o + at).astype(np.int32))
     rows, owners = np.concatenate(rows), np.concatenate(owners)
-    table, rows = np.unique(rows, return_inverse=True)
-    rows = rows.astype(np.int32)
+    per = np.bincount(owners, minlength=len(words)).astype(np.float32)
     spans = np.append(np.searchsorted(owners, np.arange(len(words))), len(owners))
-    in_texts = np.zeros(len(table), np.int64)
-    for d in docs:
-        if len(d):
-            in_texts[np.unique(np.concatenate([rows[spans[i] : spans[i + 1]] for i in set(d.tolist())]))] += 1
-    used = (in_texts >= MIN_TEXTS).astype(np.float32)[:, None]
-    emb = rng.normal(0, 0.1, (len(table), DIM)).astype(np.float32) * used
+    known = _screened(rows, spans, docs, y, TABLE)
+    keep = known[rows]
+    # what is not learnt adds nothing to any sum: from here on only the screened rows are held
+    rows, owners, table = rows[keep], owners[keep], np.flatnonzero(known)
+    rows = np.searchsorted(table, rows)
+    emb = rng.normal(0, 0.1, (len(table), DIM)).astype(np.float32)
     soft = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [np.zeros_like(x) for x in (emb, emb, soft, soft, bias, bias)]
     step = 0
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(y == 1, PRIOR / max(1, (y == 1).sum()), (1 - PRIOR) / max(1, (y == 0).sum()))
+    speaks = np.zeros(len(words), bool)
+    speaks[owners] = True
 
     def epoch_set(bags: list[np.ndarray]):
-        flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
-        used, local = np.unique(flat, return_inverse=True)
-        keep = np.isin(owners, used)
-        r, o = rows[keep], np.searchsorted(used, owners[keep])
-        return local.astype(np.int32), np.array([len(b) for b in bags]), r, o.astype(np.int32), len(used)
+        sizes = np.array([len(b) for b in bags])
+        flat = np.concatenate(bags) if bags else np.zeros(0, np.int32)
+        doc = np.repeat(np.arange(len(bags)), sizes)
+        heard = speaks[flat]
+        return flat[heard], doc[heard], np.maximum(sizes, LEAST)
+
+    def sums(of: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(of, what[:, k], n) for k in range(what.shape[1])], 1)
 
     def descend(prepared, rate: float) -> None:
         nonlocal step
         step += 1
-        local, sizes, r, o, n = prepared
-        per = np.bincount(o, minlength=n).astype(np.float32)
-        word = np.stack([np.bincount(o, emb[r, k], n) for k in range(DIM)], 1) / per[:, None]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        most = np.maximum(sizes, LEAST)
-        bag = np.stack([np.bincount(doc, word[local, k], len(sizes)) for k in range(DIM)], 1) / most[:, None]
+        flat, doc, most = prepared
+        word = sums(owners, emb[rows], len(words)) / per[:, None]
+        bag = sums(doc, word[flat], len(most)) / most[:, None]
         z = bag @ soft + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         g = p * weight[:, None]
         d_bag = (g @ soft.T) / most[:, None]
-        d_word = np.stack([np.bincount(local, d_bag[doc, k], n) for k in range(DIM)], 1) / per[:, None]
-        d_emb = np.stack([np.bincount(r, d_word[o, k], len(emb)) for k in range(DIM)], 1)
-        for i, (x, d) in enumerate(((emb, d_emb), (soft, bag.T @ g), (bias, g.sum(0)))):
-            d = d * used if x is emb else d
+        d_word = sums(flat, d_bag[doc], len(words)) / per[:, None]
+        d_emb = sums(rows, d_word[owners], len(emb))
+        for i, (x, d) in enumerate(((emb, d_emb + DECAY * emb), (soft, bag.T @ g), (bias, g.sum(0)))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPS)
 
     def pulls() -> np.ndarray:
-        row = emb @ (soft[:, 1] - soft[:, 0])
-        return np.bincount(owners, row[rows], len(words)) / np.bincount(owners, minlength=len(words))
+        return np.bincount(owners, (emb @ (soft[:, 1] - soft[:, 0]))[rows], len(words)) / per
 
     whole = epoch_set(docs)
     for _ in range(20):
@@ -203,22 +228,22 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 2) -> tuple[list[str], list[int]]:
-    """The bounded training sample: no row that is held out."""
+    """The bounded training sample, whole texts of any length: no row that is held out."""
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     if held_out is not None:
         one = one.filter(part != held_out)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = text.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id").distinct()
-    short = one.join(short, "doc_id", "left_semi")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    one = one.join(text.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for label in (0, 1):
-        some = bounded_sample(short.filter((F.col("toxic") > 0) == bool(label)), SAMPLE, "doc_id")
+        some = bounded_sample(one.filter((F.col("toxic") > 0) == bool(label)), SAMPLE, "doc_id")
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most 2 x SAMPLE ids
-    rows = text.join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
-    return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = within_bytes(rows, "text", SAMPLE_BYTES, "doc_id")
+    found = rows.orderBy("doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("y")).toArrow()
+    return found["text"].to_pylist(), found["y"].to_pylist()
 
 
 def score_texts(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarray:
