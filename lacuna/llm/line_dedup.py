@@ -34,11 +34,12 @@ def later_windows(rows: DataFrame) -> DataFrame:
         return F.struct(F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("g"))
 
     pairs = F.slice(F.transform("lines", pair), F.lit(1), F.size("lines") - (WINDOW - 1))
-    windows = lines.distinct().select("doc_id", "tag", F.posexplode(pairs).alias("at", "w"))
+    windows = lines.select("doc_id", "tag", F.posexplode(pairs).alias("at", "w"))
     windows = cut(windows.select("doc_id", "tag", "at", "w.h", "w.g"), "windows")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tag", "at")
-    often = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    often = cut(often.filter("n > 1").select("h", "g", "first"), "repeated")
+    # equal rows have equal places, so they alone make no window a repeated one
+    often = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    often = cut(often.filter("first != last").select("h", "g", "first"), "repeated")
     later = windows.join(often, ["h", "g"])
     first = (
         F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
