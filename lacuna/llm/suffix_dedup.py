@@ -29,12 +29,11 @@ table gives no rows.  Columns besides the two named are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, identified, same_doc, text_slices
@@ -320,14 +319,18 @@ def covered(docs: DataFrame, *, length: int = LENGTH, prefix: int = PREFIX, crow
                 n = len(hashes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), pa.array([r["n"]] * n, pa.int64()), pa.array([r["doc_id"]] * n, pa.int64())]
-                    + [pa.array([r["tag"]] * n, pa.int32()), pa.array(r["first"] + np.arange(n))],
-                    names=["window", "n", "doc_id", "tag", "begin"],
+                    + [pa.array([r["tag"]] * n, pa.int32()), pa.array([r["first"]] * n, pa.int64()), pa.array(r["first"] + np.arange(n))],
+                    names=["window", "n", "doc_id", "tag", "first", "begin"],
                 )
 
-    dealt = fetched.filter(F.col("m") > crowd).mapInArrow(windows, "window long, n long, doc_id long, tag int, begin long")
+    dealt = fetched.filter(F.col("m") > crowd).mapInArrow(windows, "window long, n long, doc_id long, tag int, first long, begin long")
     dealt = cut(dealt, "windows")
     again = cut(dealt.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window"), "again")
-    crowded = dealt.join(again, "window").filter("n = 1").select("doc_id", "tag", "begin", (F.col("begin") + length).alias("end"))
+    crowded = dealt.join(again, "window").filter("n = 1")
+    # neighbours within a span merge here, so a long text collects few spans
+    place = F.row_number().over(Window.partitionBy("doc_id", "tag", "first").orderBy("begin"))
+    islands = crowded.withColumn("island", F.col("begin") - place).groupBy("doc_id", "tag", "first", "island").agg(F.min("begin").alias("begin"), F.max("begin").alias("last"))
+    crowded = islands.select("doc_id", "tag", "begin", (F.col("last") + length).alias("end"))
     return whole.unionByName(small).unionByName(crowded)
 
 
@@ -381,8 +384,6 @@ def op1(docs: DataFrame) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # a cut may part a character: what is not whole is replaced here, and only here
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

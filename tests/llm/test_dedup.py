@@ -47,6 +47,9 @@ def test_op1(documents, texts):
     rows = queries.suffix_dedup.op1(documents).orderBy("doc_id").collect()
     ids = sorted(texts)
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == brute([texts[i] for i in ids], 400)
+    whole = [r for r in rows if not r.n_removed]
+    assert whole and all(r.text == texts[r.doc_id] for r in whole)
+    assert any(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows if r.n_removed)
 
 
 def test_blocks_of_long_texts_agree(monkeypatch):
