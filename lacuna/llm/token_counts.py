@@ -25,6 +25,8 @@ from .token_files import open_store
 
 #: Ids in a block.
 BLOCK_IDS = 1 << 20
+#: Blocks that a task scans at most.
+TASK_BLOCKS = 64
 
 
 def write_flat(
@@ -112,8 +114,11 @@ def scan_flat(files: DataFrame, *, end_id: int = 50_256, block_ids: int = BLOCK_
                     names=["file", "block", "j", "begin", "stop"],
                 )
 
-    blocks = files.select("file", "path").mapInArrow(sizes, "file int, path string, block long")
-    found = cut(blocks.repartition("file", "block").mapInArrow(scan, _SCANNED), "ends")
+    blocks = cut(files.select("file", "path").mapInArrow(sizes, "file int, path string, block long"), "blocks")
+    total = blocks.count()
+    # a number of its own, or adaptive execution would deal these tiny rows to one task
+    tasks = max(1, min(total, files.sparkSession.sparkContext.defaultParallelism), -(-total // TASK_BLOCKS))
+    found = cut(blocks.repartitionByRange(tasks, "file", "block").mapInArrow(scan, _SCANNED), "ends")
     # prefix scan over block summaries, a row a block: documents before, and ids since the last end
     summary = found.filter("j < 0").select("file", "block", F.col("stop").alias("ends"), F.col("begin").alias("tail"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,8 +129,7 @@ def scan_flat(files: DataFrame, *, end_id: int = 50_256, block_ids: int = BLOCK_
     in_run = Window.partitionBy("file", "run").orderBy("block")
     summary = summary.withColumn("open", F.sum("tail").over(in_run))
     carried = summary.withColumn("carry", F.coalesce(F.lag("open").over(upto), F.lit(0)))
-    n_blocks = carried.count()
-    carried = bounded(carried.select("file", "block", "first", "carry"), n_blocks, 40)
+    carried = bounded(carried.select("file", "block", "first", "carry"), total, 40)
     each = found.filter("j >= 0").join(carried, ["file", "block"])
     begin = F.col("begin") - F.when(F.col("j") == 0, F.col("carry")).otherwise(0)
     return each.select(
