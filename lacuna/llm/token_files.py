@@ -162,7 +162,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     # one row a file: the running sum over them is small whatever the corpus holds
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("part", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    return files.repartition("part").mapInArrow(read, RECORDS)
+    # a number of its own, or adaptive execution would deal these tiny rows to one task
+    return files.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(read, RECORDS)
 
 
 def op8(docs: DataFrame) -> DataFrame:
