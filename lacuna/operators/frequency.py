@@ -110,7 +110,11 @@ def mine(
         names.rule_id("group_id", "kind", "value").alias("rule_id"),
     )
     broken = rules.filter("support_n < support_total")  # a unanimous rule has no gap to look for
-    sets = members.select("group_id", "entity_id").join(profiles(features, values), "entity_id")
+    # only members of groups with a broken rule, and only values that such a rule names, can matter
+    asked = broken.select(F.col("feature_kind").alias("kind"), F.col("feature_value").alias("value")).distinct()
+    of_rules = values.join(asked, ["kind", "value"], "left_semi")
+    of_groups = members.select("group_id", "entity_id").join(broken.select("group_id").distinct(), "group_id", "left_semi")
+    sets = of_groups.join(profiles(features, of_rules), "entity_id")
     sets = sets.select("group_id", "entity_id", F.inline("kinds")).withColumnRenamed("kind", "feature_kind")
     # whoever lacks the value is known from the set at hand: no anti-join with all values
     gaps = broken.join(sets, ["group_id", "feature_kind"]).filter(~F.array_contains("vs", F.col("feature_value")))

@@ -15,6 +15,8 @@ from .frequency import with_gap_ids
 
 SERIES_ORD, LETTER_ORD, VERSION_ORD, ORDINAL_ORD = 13, 14, 15, 16
 MIN_MEMBERS, MAX_GAP = 3, 5
+#: Numbers of a key that one task orders.
+SPAN = 4096
 
 #: Alphabets of ordered slots, each a list of synonyms, and the
 #: class-name hints that admit them (none: always).
@@ -43,38 +45,73 @@ ALPHABETS = [
 ALPHABET = "alphabet string, slots array<array<string>>, hints array<string>"
 
 
+def _placed(rows: DataFrame, key: list[str], max_gap: int) -> DataFrame:
+    """Rows with the next number in their bucket and the run that they are in.
+
+    A bucket is ``SPAN`` numbers of a key, so no task orders a whole directory.
+    """
+    order = Window.partitionBy(*key, "bucket").orderBy("n", "width", "path")
+    rows = rows.withColumn("bucket", F.expr(f"n div {SPAN}L")).withColumn("next_n", F.lead("n").over(order))
+    jump = F.when(F.col("n") - F.lag("n").over(order) > max_gap, 1).otherwise(0)
+    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("jump", jump).withColumn("run", F.sum("jump").over(running)).drop("jump")
+
+
+def _runs(placed: DataFrame, key: list[str], max_gap: int) -> DataFrame:
+    """One row a run with its island: runs of neighbouring buckets join where they are close.
+
+    ``edges`` are the members that a hole may follow; the last one's next number is null.
+    """
+    step = F.col("next_n") - F.col("n")
+    last = step.isNull() | (step > max_gap)
+    edge = F.struct("n", F.when(~last, F.col("next_n")).alias("next_n"), "path", "ext")
+    mark = F.xxhash64("ext")
+    runs = placed.groupBy(*key, "bucket", "run").agg(
+        F.count("*").alias("held"),
+        F.min("n").alias("lo"),
+        F.max("n").alias("hi"),
+        F.max("width").alias("width"),
+        F.min(mark).alias("ext_lo"),
+        F.max(mark).alias("ext_hi"),
+        F.collect_list(F.when(last | (step > 1), edge)).alias("edges"),
+    )
+    along = Window.partitionBy(*key).orderBy("lo")
+    runs = runs.withColumn("next_lo", F.lead("lo").over(along))
+    jump = F.when(F.col("lo") - F.lag("hi").over(along) > max_gap, 1).otherwise(0)
+    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return runs.withColumn("jump", jump).withColumn("island", F.sum("jump").over(running)).drop("jump")
+
+
 def clusters(rows: DataFrame, key: list[str], max_gap: int = MAX_GAP, min_members: int = MIN_MEMBERS) -> DataFrame:
     """Number the islands of each key: a new one wherever the step exceeds ``max_gap``."""
-    large = rows.groupBy(*key).agg(F.count("*").alias("in_key")).filter(F.col("in_key") >= min_members)
-    rows = rows.join(large.select(*key), key, "left_semi")
-    order = Window.partitionBy(*key).orderBy("n", "width", "path")
-    step = F.col("n") - F.lag("n").over(order)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("jump", F.when(step > max_gap, 1).otherwise(0)).withColumn("island", F.sum("jump").over(running)).drop("jump")
+    placed = _placed(rows, key, max_gap)
+    runs = _runs(placed, key, max_gap).withColumn("in_key", F.sum("held").over(Window.partitionBy(*key)))
+    runs = runs.filter(F.col("in_key") >= min_members).select(*key, "bucket", "run", "island")
+    return placed.join(runs, [*key, "bucket", "run"]).select(*rows.columns, "island")
 
 
 def holes(rows: DataFrame, key: list[str], max_gap: int = MAX_GAP, min_members: int = MIN_MEMBERS) -> DataFrame:
     """A row for each missing number of each island, with its anchor, the last member below it.
 
     A hole lies between two neighbours, so the lower neighbour is its anchor and the
-    numbers come from the step between the two; no join is needed.
+    numbers come from the step between the two; no join is needed.  Only runs, not
+    their members, are put in order within a key.
     """
-    found = clusters(rows, key, max_gap, min_members)
-    island = [*key, "island"]
-    order = Window.partitionBy(*island).orderBy("n", "width", "path")
-    whole = Window.partitionBy(*island)
+    whole = Window.partitionBy(*key, "island")
+    found = _runs(_placed(rows, key, max_gap), key, max_gap)
     found = (
-        found.withColumn("next_n", F.lead("n").over(order))
-        .withColumn("support_n", F.count("*").over(whole))
-        .withColumn("support_total", F.max("n").over(whole) - F.min("n").over(whole) + 1)
+        found.withColumn("support_n", F.sum("held").over(whole))
+        .withColumn("support_total", F.max("hi").over(whole) - F.min("lo").over(whole) + 1)
         .withColumn("max_width", F.max("width").over(whole))
-        .withColumn("ext_lo", F.min("ext").over(whole))
-        .withColumn("ext_hi", F.max("ext").over(whole))
+        .withColumn("one_ext", F.min("ext_lo").over(whole) == F.max("ext_hi").over(whole))
     )
-    found = found.filter((F.col("support_n") >= min_members) & (F.col("next_n") > F.col("n") + 1))
-    missing = F.explode(F.sequence(F.col("n") + 1, F.col("next_n") - 1)).alias("missing")
-    ext = F.when(F.col("ext_lo") == F.col("ext_hi"), F.col("ext_lo")).otherwise("").alias("common_ext")
-    return found.select(*key, missing, "max_width", ext, "support_n", "support_total", F.col("path").alias("anchor"))
+    found = found.filter(F.col("support_n") >= min_members)
+    joined = F.when(F.col("next_lo") - F.col("hi") <= max_gap, F.col("next_lo"))
+    found = found.withColumn("joined", joined).withColumn("edge", F.explode("edges"))
+    found = found.withColumn("above", F.coalesce(F.col("edge.next_n"), F.col("joined"))).filter(F.col("above") > F.col("edge.n") + 1)
+    missing = F.explode(F.sequence(F.col("edge.n") + 1, F.col("above") - 1)).alias("missing")
+    ext = F.when(F.col("one_ext"), F.col("edge.ext")).otherwise("").alias("common_ext")
+    return found.select(*key, missing, "max_width", ext, "support_n", "support_total", F.col("edge.path").alias("anchor"))
 
 
 def _rules(found: DataFrame, strategy: int, group: Column, value: Column, anchors: DataFrame) -> Findings:
@@ -132,6 +169,7 @@ def series_gaps(entities: DataFrame, *, min_members: int = MIN_MEMBERS, max_gap:
     return _rules(found, SERIES_ORD, F.concat(F.lit("series:"), _or_dot("dir")), value, _first_in_file(entities))
 
 
+#: Fixed value: how lettered files are named.
 _LETTERED = r"^(.+_)([A-Za-z])\.([^.]+)$"
 
 

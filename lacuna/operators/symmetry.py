@@ -41,16 +41,26 @@ def name_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("scope", "name").agg(F.count("*").alias("n"))
 
 
-def qualifying_pairs(index: DataFrame, min_support: int) -> DataFrame:
-    """Unordered name pairs that share a scope; one name at least is frequent."""
-    counted = index.join(name_counts(index), ["scope", "name"]).withColumn("often", F.col("n") >= min_support)
-    left = counted.select("scope", "scope_id", F.col("name").alias("a"), F.col("often").alias("often_a"))
-    right = counted.select("scope", "scope_id", F.col("name").alias("b"), F.col("often").alias("often_b"))
+def _reaches(one: str, other: str, min_support: int, min_confidence: float):
+    """Whether names this frequent can hold one way: together they come as often as the rarer at most."""
+    more = (F.col(one) >= min_support) & (F.col(other) >= min_confidence * F.col(one) - 1e-9)
+    return more | ((F.col(other) >= min_support) & (F.col(one) >= min_confidence * F.col(other) - 1e-9))
+
+
+def qualifying_pairs(index: DataFrame, min_support: int, min_confidence: float = 0.0) -> DataFrame:
+    """Unordered name pairs that share a scope; one name at least is frequent.
+
+    With a confidence only pairs whose names are frequent enough to reach it.
+    """
+    counted = index.join(name_counts(index), ["scope", "name"])
+    # a name that is too rare even beside the least frequent name that counts meets no other
+    counted = counted.filter(F.col("n") >= min_confidence * min_support - 1e-9)
+    left = counted.filter(F.col("n") >= min_support).select("scope", "scope_id", F.col("name").alias("a"), F.col("n").alias("n_a"))
+    right = counted.select("scope", "scope_id", F.col("name").alias("b"), F.col("n").alias("n_b"))
     # only frequent names meet others: the join never pairs two rare names
-    half = left.filter("often_a").join(right.filter("not often_b"), ["scope", "scope_id"])
-    half = half.select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    both = left.filter("often_a").join(right.filter("often_b"), ["scope", "scope_id"]).filter("a < b").select("scope", "a", "b")
-    return half.unionByName(both).groupBy("scope", "a", "b").agg(F.count("*").alias("n_both"))
+    met = (F.col("a") != F.col("b")) & ((F.col("n_b") < min_support) | (F.col("a") < F.col("b")))
+    met = left.join(right, ["scope", "scope_id"]).filter(met & _reaches("n_a", "n_b", min_support, min_confidence))
+    return met.groupBy("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n_both"))
 
 
 def directional(pairs: DataFrame, counts: DataFrame, min_support: int, min_confidence: float) -> DataFrame:
@@ -66,7 +76,7 @@ def directional(pairs: DataFrame, counts: DataFrame, min_support: int, min_confi
 def mine_pairs(entities: DataFrame, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
     """Mined symmetry pairs of class and file scopes."""
     index = scope_index(entities)
-    found = directional(qualifying_pairs(index, min_support), name_counts(index), min_support, min_confidence)
+    found = directional(qualifying_pairs(index, min_support, min_confidence), name_counts(index), min_support, min_confidence)
     name = F.concat(F.lit("mined:"), F.col("left"), F.lit("_to_"), F.col("right"))
     return found.select(name.alias("name"), "left", "right", "scope", F.lit("mined").alias("description"))
 
@@ -121,9 +131,11 @@ def callers(entities: DataFrame, values: DataFrame) -> DataFrame:
 def call_pairs(calls: DataFrame, min_support: int = 5, min_confidence: float = 0.9) -> DataFrame:
     """``left, right, n_left, n_both``: both calls are popular, and the pair holds one way."""
     counts = calls.groupBy("call").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
-    popular = calls.join(counts.select("call"), "call", "left_semi")
-    both = popular.select("caller", F.col("call").alias("a")).join(popular.select("caller", F.col("call").alias("b")), "caller")
-    both = both.filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both")).withColumn("scope", F.lit("caller"))
+    popular = calls.join(counts, "call")
+    left = popular.select("caller", F.col("call").alias("a"), F.col("n").alias("n_a"))
+    right = popular.select("caller", F.col("call").alias("b"), F.col("n").alias("n_b"))
+    both = left.join(right, "caller").filter((F.col("a") < F.col("b")) & _reaches("n_a", "n_b", min_support, min_confidence))
+    both = both.groupBy("a", "b").agg(F.count("*").alias("n_both")).withColumn("scope", F.lit("caller"))
     counts = counts.select(F.lit("caller").alias("scope"), F.col("call").alias("name"), "n")
     return directional(both, counts, min_support, min_confidence)
 
