@@ -152,6 +152,17 @@ def human_size(n: Column | str) -> Column:
     )
 
 
+def human_seconds(n: Column | str) -> Column:
+    """Seconds as ``45.2 s``, ``3 m 12 s`` or ``1 h 4 m``."""
+    s = col(n).cast("double")
+    minutes, hours = F.floor(s / 60), F.floor(s / 3600)
+    return (
+        F.when(s < 60, F.format_string("%.1f s", F.bround(s, 1)))
+        .when(s < 3600, F.format_string("%d m %2d s", minutes, F.floor(s - minutes * 60)))
+        .otherwise(F.format_string("%d h %d m", hours, F.floor((s - hours * 3600) / 60)))
+    )
+
+
 def age_days(then: Column, now: Column) -> Column:
     """Whole days between two timestamps, never negative; null if either is unknown."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
+
 PARALLEL_FRACTION, WORKER_STARTUP, DEFAULT_BPS = 0.55, 0.06, 15_000_000
 #: Baseline bytes a second of each language.
 BASELINE_BPS = {
@@ -144,7 +146,7 @@ def coverage(shape: DataFrame, calibrated: list[str]) -> DataFrame:
 
 
 def confidence_band(observed: Column, calibrated: Column, age: Column, covered: Column, runs: Column) -> tuple[Column, Column]:
-    """Label and relative error of an estimate.
+    """Label and relative error of an estimate; the steps are fixed values.
 
     A cold run of the same corpus is nearly a measurement.  Without calibration only
     past runs narrow the band; with one, it depends on the languages that were
@@ -171,6 +173,24 @@ def confidence_band(observed: Column, calibrated: Column, age: Column, covered:
     return label, error
 
 
+def report(curve: DataFrame, tail: Column | None = None, observed: float | None = None) -> DataFrame:
+    """``at, text``: a line for each number of jobs, then what past runs say of mining, then a measured run."""
+    rows = curve.select(
+        F.col("jobs").cast("long").alias("at"),
+        F.concat(
+            F.format_string("jobs %d: ", F.col("jobs")), names.human_seconds("parallel_s"), F.format_string(", %.2f x", F.round("speedup", 2)),
+            F.format_string(", efficiency %.0f %%", F.round(F.col("efficiency") * 100)),
+        ).alias("text"),
+    )
+    one = curve.sparkSession.range(1)
+    if tail is not None:
+        mined = one.select(F.lit(1 << 40).alias("at"), F.concat(F.lit("mining, by past runs: "), names.human_seconds(tail)).alias("text"))
+        rows = rows.unionByName(mined.filter("text is not null"))
+    if observed is not None:
+        rows = rows.unionByName(one.select(F.lit(1 << 41).alias("at"), F.concat(F.lit("last full run: "), names.human_seconds(F.lit(observed))).alias("text")))
+    return rows
+
+
 def languages_by_bytes(shape: DataFrame) -> DataFrame:
     return shape.orderBy(F.desc("bytes"), "language")
 

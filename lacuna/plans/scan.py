@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import closure, enrichment, finalize, frequency, selectors, series, symmetry
+from ..operators.joins import bounded
 from ..schema import Corpus, Findings
 from ..sources import config as settings
 from ..sources import extract, files, state
@@ -21,6 +23,8 @@ class ScanResult:
     corpus: Corpus
     members: DataFrame
     found: Findings
+    #: One gap for each entity and value, suppressed ones included.
+    every: DataFrame
     gaps: DataFrame
     held: list[DataFrame] = field(default_factory=list)
 
@@ -91,8 +95,8 @@ def scan_corpus(
 ) -> ScanResult:
     """Enrich, group, mine, dedup, suppress.
 
-    The canonical frames are read by every strategy, so they are kept on the
-    executors' disks and memory until ``release``.
+    The canonical frames are read by every strategy, and rules and gaps by every report,
+    so they are kept on the executors' disks and memory until ``release``.
     """
     config = config or settings.Config()
     corpus = enrichment.enrich(corpus, registered)
@@ -100,12 +104,14 @@ def scan_corpus(
     corpus = Corpus(*kept)
     members = select_groups(corpus, config)
     found = finalize.union_findings(strategies(corpus, members, config, texts))
-    gaps = finalize.dedup_gaps(found.gaps)
+    found = Findings(found.rules.persist(StorageLevel.MEMORY_AND_DISK), found.gaps)
+    every = finalize.dedup_gaps(found.gaps).persist(StorageLevel.MEMORY_AND_DISK)
+    gaps = every
     if local is not None:
         gaps = finalize.suppress_local(gaps, local)
     if project is not None:
         gaps = finalize.suppress_project(gaps, project)
-    return ScanResult(corpus, members, found, gaps, kept)
+    return ScanResult(corpus, members, found, every, gaps, [*kept, found.rules, every])
 
 
 def tree_inputs(spark: SparkSession, root: str, config: settings.Config, registry: extract.Registry) -> dict[str, DataFrame]:
@@ -134,20 +140,57 @@ def scan_tree(spark: SparkSession, root: str, config: settings.Config | None = N
 
 _EXTRACTED = "entity_id string, kind string, qualified_name string, file_path string, line int, ordinal long, features map<string,array<string>>"
 _FILES = "path string, hash string"
+#: What a path may take in a broadcast.
+PATH_BYTES = 256
 SUPPRESSION = "short_id string, full_id string, reason string, created_at timestamp"
 
 
-def refresh(spark: SparkSession, files_now: DataFrame, store: state.StateStore, registry: extract.Registry, cold: list[str] | None = None) -> DataFrame:
-    """Bring the state up to date with ``path, language, content`` and return all extracted rows.
+class Refreshed(NamedTuple):
+    """All extracted rows of the state, and how many files there are and were read again."""
+
+    rows: DataFrame
+    files: int
+    changed: int
+
+
+def refresh(spark: SparkSession, files_now: DataFrame, store: state.StateStore, registry: extract.Registry, cold: list[str] | None = None) -> Refreshed:
+    """Bring the state up to date with ``path, language, content``.
 
     Only changed files are read again; rows of files that are gone leave the state.
+    Contents are hashed where they are read: paths alone are joined, and contents then
+    meet the smaller of the changed and the unchanged paths.
     """
-    hashed = files_now.withColumn("hash", state.content_hash("content", extract.FINGERPRINT))
-    current = hashed.select("path", "hash")
     stored, old = store.read("files", _FILES), store.read("extracted", _EXTRACTED)
-    changed = state.changed_files(current, stored, cold)
+    current = files_now.select("path", state.content_hash("content", extract.FINGERPRINT).alias("hash")).persist(StorageLevel.MEMORY_AND_DISK)
+    changed = state.changed_files(current, stored, cold).persist(StorageLevel.MEMORY_AND_DISK)
+    n_files, n_changed = current.count(), changed.count()
+    if n_changed == n_files:
+        again = files_now
+    elif 2 * n_changed <= n_files:
+        again = files_now.join(bounded(changed.select("path"), n_changed, PATH_BYTES), "path", "left_semi")
+    else:
+        same = current.select("path").join(changed.select("path"), "path", "left_anti")
+        again = files_now.join(bounded(same, n_files - n_changed, PATH_BYTES), "path", "left_anti")
     gone = state.tombstones(stored, current)
-    fresh = registry.extract(hashed.join(changed.select("path"), "path", "left_semi"))
-    store.write("extracted", state.replaced(old, fresh, changed, gone))
+    store.write("extracted", state.replaced(old, registry.extract(again), changed, gone))
     store.write("files", current)
-    return store.read("extracted", _EXTRACTED)
+    current.unpersist()
+    changed.unpersist()
+    return Refreshed(store.read("extracted", _EXTRACTED), n_files, n_changed)
+
+
+def rescan(
+    spark: SparkSession,
+    root: str,
+    store: state.StateStore,
+    config: settings.Config | None = None,
+    registry: extract.Registry | None = None,
+    cold: list[str] | None = None,
+) -> tuple[ScanResult, Refreshed]:
+    """An incremental scan of a directory with its state; the command line and watch mode both run this."""
+    config, registry = config or settings.Config(), registry or extract.Registry.discover()
+    now = registry.with_language(files.source_files(spark, root, excludes=list(config.exclude)), list(config.languages) or None)
+    fresh = refresh(spark, now, store, registry, cold)
+    corpus = extract.corpus(state.last_definitions(fresh.rows))
+    local = store.read("suppressions", SUPPRESSION)
+    return scan_corpus(corpus, config, local=local, **tree_inputs(spark, root, config, registry)), fresh

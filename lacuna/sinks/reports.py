@@ -6,21 +6,25 @@ are; JSON and SARIF hold every gap and are streamed, a partition at a time.
 
 from __future__ import annotations
 
+import csv
 import html
+import io
+import itertools
 import json
 import textwrap
 import uuid
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import json_rows, located, sarif_results
+from .tables import CSV_COLUMNS, csv_rows, json_rows, located, sarif_results
 
 #: Rows that a report for people shows.
 SHOWN = 10_000
-TOOL = "lacuna"
+TOOL, VERSION = "lacuna", "1"
 EXTENSIONS = {"markdown": ".md", "html": ".html", "text": ".txt", "json": ".json", "csv": ".csv", "sarif": ".sarif"}
 
 
@@ -81,23 +85,55 @@ def _filled(document: dict, lists: dict[str, Iterable]) -> Iterator[str]:
     yield rest
 
 
-def json_chunks(gaps: DataFrame, entities: DataFrame, statistics: dict) -> Iterator[str]:
+def metadata(root: str, statistics: dict, gaps: DataFrame, **scan) -> dict:
+    """When and of what an export was made: the scan's ``started_at``, ``duration_ms`` and bounds are the caller's."""
+    return {
+        "version": VERSION,
+        "exported_at": datetime.now(UTC).isoformat(),
+        "scan_started_at": scan.get("started_at"),
+        "scan_duration_ms": scan.get("duration_ms"),
+        "root": root,
+        "files_seen": statistics.get("files"),
+        "entities_scanned": statistics.get("entities"),
+        "groups": statistics.get("groups"),
+        "rules_total": statistics.get("rules"),
+        "gaps_total": gaps.count(),
+        "suppressed": scan.get("suppressed"),
+        "min_confidence": scan.get("min_confidence"),
+        "min_group_size": scan.get("min_group_size"),
+        "rules_referenced": gaps.select("rule_id").distinct().count(),
+    }
+
+
+def json_chunks(gaps: DataFrame, entities: DataFrame, statistics: dict, meta: dict | None = None) -> Iterator[str]:
     """Every gap as JSON, in parts of the document."""
     rows, here = json_rows(gaps, entities), uuid.uuid4().hex
     summary = {"gaps": rows.count(), "rules": statistics.get("rules", 0)}
     found = (r.asDict(recursive=True) for r in rows.orderBy("id").toLocalIterator())
-    return _filled({"scan": statistics, "summary": summary, "gaps": [here]}, {here: found})
+    return _filled(({"meta": meta} if meta else {}) | {"scan": statistics, "summary": summary, "gaps": [here]}, {here: found})
+
+
+def json_document(gaps: DataFrame, entities: DataFrame, statistics: dict, meta: dict | None = None) -> str:
+    return "".join(json_chunks(gaps, entities, statistics, meta))
 
 
-def json_document(gaps: DataFrame, entities: DataFrame, statistics: dict) -> str:
-    return "".join(json_chunks(gaps, entities, statistics))
+def csv_chunks(gaps: DataFrame, entities: DataFrame) -> Iterator[str]:
+    """Every gap as CSV, the most confident first, a line at a time."""
+    line = io.StringIO()
+    writer = csv.writer(line)
+    rows = csv_rows(gaps, entities).orderBy(F.desc("confidence"), "gap_id")
+    for row in itertools.chain([CSV_COLUMNS], rows.toLocalIterator()):
+        writer.writerow(row)
+        yield line.getvalue()
+        line.seek(0)
+        line.truncate()
 
 
 def _described(r) -> dict:
     return {
         "id": r.rule_id,
         "name": f"{r.feature_kind}/{r.feature_value}",
-        "shortDescription": {"text": f"Members of `{r.group_id}` typically have `{r.feature_value}`."},
+        "shortDescription": {"text": f"`{r.feature_value}` is the rule in `{r.group_id}`."},
         "defaultConfiguration": {"level": r.level},
         "properties": {"support_n": r.support_n, "support_total": r.support_total, "confidence": round(r.confidence, 4)},
     }

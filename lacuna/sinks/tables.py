@@ -49,7 +49,7 @@ def sarif_results(gaps: DataFrame, entities: DataFrame) -> DataFrame:
     number = number.withColumn("rule_index", (F.row_number().over(Window.orderBy("rule_id")) - 1).cast("long"))
     rows = located(gaps, entities).join(number, "rule_id")
     text = F.format_string(
-        "`%s` is missing `%s` (%s). %d of %d members of `%s` have it (confidence %.2f).",
+        "`%s` lacks `%s` (%s), as %d of %d in `%s` do not (confidence %.2f).",
         "qualified_name", "feature_value", "feature_kind", "support_n", "support_total", "group_id", "confidence",
     )
     return rows.withColumn("level", names.sarif_level("confidence")).withColumn("message", text)

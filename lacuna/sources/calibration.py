@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import time
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,33 +26,26 @@ class Calibration:
     files: int
     bytes: int
     seconds: float
+    overhead: float
     parallel_fraction: float
     observed: list[tuple[int, float]] = field(default_factory=list)
     bps: dict[str, int] = field(default_factory=dict)
     languages: list[str] = field(default_factory=list)
 
-    def save(self, path: Path) -> None:
-        path.write_text(json.dumps(asdict(self), indent=2, sort_keys=True))
+    def text(self) -> str:
+        return json.dumps(asdict(self), indent=2, sort_keys=True)
 
     @classmethod
-    def load(cls, path: Path) -> Calibration | None:
+    def parse(cls, text: str | None) -> Calibration | None:
         """The record, or None if there is none that can be read."""
         try:
-            raw = json.loads(path.read_text())
+            raw = json.loads(text or "")
             raw["observed"] = [(int(n), float(s)) for n, s in raw["observed"]]
             return cls(**raw)
-        except (OSError, ValueError, TypeError, KeyError):
+        except (ValueError, TypeError, KeyError):
             return None
 
 
-def write_synthetic(spark: SparkSession, folder: Path, n: int = 60) -> None:
-    """A corpus to calibrate on where there is none; a few small files, written by the driver."""
-    for row in estimator.synthetic_files(spark, n).collect():
-        target = folder / row.path
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(bytes(row.content))
-
-
 def _timed(found: DataFrame, registry: extract.Registry, jobs: int) -> float:
     began = time.perf_counter()
     registry.extract(found.repartition(jobs)).write.format("noop").mode("overwrite").save()
@@ -62,26 +53,33 @@ def _timed(found: DataFrame, registry: extract.Registry, jobs: int) -> float:
 
 
 def calibrate(spark: SparkSession, root: str | None = None, cores: int | None = None) -> Calibration:
-    """Extract a corpus at a few degrees of parallelism and fit the model to the times."""
+    """Extract a corpus at a few degrees of parallelism and fit the model to the times.
+
+    Without a corpus generated sources take its place.  What a run over no files takes
+    is overhead and counts for no language.
+    """
     registry = extract.Registry.discover()
     cores = cores or spark.sparkContext.defaultParallelism
-    with tempfile.TemporaryDirectory() as own:
-        if root is None:
-            write_synthetic(spark, Path(own))
-        found = registry.with_language(files.source_files(spark, root or own)).cache()
-        shape = {r.language: (r.files, r.bytes) for r in files.corpus_shape(found).collect()}
-        _timed(found, registry, 1)  # starts the workers
-        observed = [(n, _timed(found, registry, n)) for n in estimator.measurement_points(cores)]
-        bps = {}
-        for language, (count, size) in shape.items():
-            if count >= 4 and len(shape) > 1:
-                bps[language] = max(1, int(size / max(0.001, _timed(found.filter(F.col("language") == language), registry, 1))))
-        found.unpersist()
+    if root is None:
+        sources = estimator.synthetic_files(spark).withColumn("length", F.length("content").cast("long"))
+    else:
+        sources = files.source_files(spark, root)
+    found = registry.with_language(sources).cache()
+    shape = {r.language: (r.files, r.bytes) for r in files.corpus_shape(found).collect()}
+    _timed(found, registry, 1)  # starts the workers
+    overhead = _timed(found.filter(F.lit(False)), registry, 1)
+    observed = [(n, _timed(found, registry, n)) for n in estimator.measurement_points(cores)]
+    bps = {}
+    for language, (count, size) in shape.items():
+        if count >= 4 and len(shape) > 1:
+            took = _timed(found.filter(F.col("language") == language), registry, 1) - overhead
+            bps[language] = max(1, int(size / max(0.01, took)))
+    found.unpersist()
     sizes = spark.createDataFrame([(k, v[1]) for k, v in shape.items()], "language string, bytes long")
     expected = estimator.serial_seconds(sizes, estimator.bps_table(spark))
-    factor = expected.select(estimator.speed_factor(F.col("serial_s"), F.lit(observed[0][1]), F.lit(0.0)).alias("f")).head().f
+    factor = expected.select(estimator.speed_factor(F.col("serial_s"), F.lit(observed[0][1]), F.lit(overhead)).alias("f")).head().f
     p = estimator.fit_amdahl(spark.createDataFrame(observed, "jobs int, seconds double")).head().p
     return Calibration(
         datetime.now(UTC).isoformat(), VERSION, cores, factor, root or "synthetic", sum(v[0] for v in shape.values()),
-        sum(v[1] for v in shape.values()), observed[0][1], p, observed, bps, sorted(shape),
+        sum(v[1] for v in shape.values()), observed[0][1], overhead, p, observed, bps, sorted(shape),
     )

@@ -78,26 +78,37 @@ def find_config(start: Path) -> Path | None:
 ENTRY = "entity string, rule string, scope string, reason string, created string"
 
 
-def project_suppressions(spark: SparkSession, root: Path) -> DataFrame:
-    """``[[suppress]]`` blocks of the project's own file; none if it can't be read."""
+def _toml(path: Path) -> str:
     try:
-        with (root / CONFIG_NAME).open("rb") as f:
-            blocks = tomllib.load(f).get("suppress", [])
-    except (OSError, tomllib.TOMLDecodeError):
-        blocks = []
+        return path.read_text()
+    except OSError:
+        return ""
+
+
+def _parsed(text: str) -> dict[str, Any]:
+    try:
+        return tomllib.loads(text)
+    except tomllib.TOMLDecodeError:
+        return {}
+
+
+def suppressions(spark: SparkSession, text: str) -> DataFrame:
+    """``[[suppress]]`` blocks of TOML; none if it can't be read."""
     keys = [c.split()[0] for c in ENTRY.split(", ")]
+    blocks = _parsed(text).get("suppress", [])
     rows = [tuple(None if b.get(k) is None else str(b[k]) for k in keys) for b in blocks if isinstance(b, dict)]
     return spark.createDataFrame(rows, ENTRY)
 
 
-def registered_entry_points(spark: SparkSession, root: Path) -> DataFrame:
+def project_suppressions(spark: SparkSession, root: Path) -> DataFrame:
+    """The reviewed suppressions of the project's own file."""
+    return suppressions(spark, _toml(root / CONFIG_NAME))
+
+
+def entry_points(spark: SparkSession, text: str) -> DataFrame:
     """``suffix, class`` of ``[project.entry-points]`` declarations such as ``pkg.mod:Class``."""
     rows = []
-    try:
-        with (root / "pyproject.toml").open("rb") as f:
-            groups = tomllib.load(f).get("project", {}).get("entry-points", {})
-    except (OSError, tomllib.TOMLDecodeError):
-        groups = {}
+    groups = _parsed(text).get("project", {}).get("entry-points", {})
     for group in groups.values():
         for target in group.values() if isinstance(group, dict) else ():
             module, _, name = str(target).partition(":")
@@ -106,15 +117,26 @@ def registered_entry_points(spark: SparkSession, root: Path) -> DataFrame:
     return spark.createDataFrame(rows, "suffix string, class string")
 
 
+def registered_entry_points(spark: SparkSession, root: Path) -> DataFrame:
+    return entry_points(spark, _toml(root / "pyproject.toml"))
+
+
 RUN = (
     "run_id string, ts string, version string, cores int, jobs int, root string, files long, entities long, "
-    "by_language_bytes map<string,long>, stage_ms map<string,double>, gaps long"
+    "by_language_bytes map<string,long>, stage_ms map<string,double>, duration_ms double, files_unchanged long, gaps long"
 )
 
 
+def no_runs(spark: SparkSession) -> DataFrame:
+    return runs(spark.createDataFrame([], RUN))
+
+
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Run records from JSON lines; malformed lines are dropped, times without a zone are UTC."""
-    raw = spark.read.schema(RUN).option("mode", "DROPMALFORMED").json(path)
+    """Run records from JSON lines, in one file or a folder; malformed lines are dropped, times without a zone are UTC."""
+    return runs(spark.read.schema(RUN).option("mode", "DROPMALFORMED").json(path))
+
+
+def runs(raw: DataFrame) -> DataFrame:
     size = F.aggregate(F.map_values("by_language_bytes"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
     return raw.select(
         "run_id",

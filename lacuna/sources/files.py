@@ -58,16 +58,25 @@ def scan_filter(files: DataFrame, *, excludes: list[str] | None = None, noise: l
     return kept
 
 
-def source_files(spark: SparkSession, root: str, *, excludes: list[str] | None = None) -> DataFrame:
-    """``path`` relative to the root, ``length``, ``content``; unread content is never loaded."""
+def _under(spark: SparkSession, root: str, excludes: list[str] | None) -> DataFrame:
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     full = F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*(?=/))?", "")
     plain = re.sub(r"^[a-z0-9+.-]+:(//[^/]*(?=/))?", "", base)
-    rows = found.withColumn("full", full).select(F.substring("full", len(plain) + 2, 1 << 20).alias("path"), "length", "content")
+    rows = found.withColumn("path", F.substring(full, len(plain) + 2, 1 << 20)).withColumnRenamed("modificationTime", "modified")
     return scan_filter(rows, excludes=excludes)
 
 
+def source_files(spark: SparkSession, root: str, *, excludes: list[str] | None = None) -> DataFrame:
+    """``path`` relative to the root, ``length``, ``content``; unread content is never loaded."""
+    return _under(spark, root, excludes).select("path", "length", "content")
+
+
+def listed(spark: SparkSession, root: str, *, excludes: list[str] | None = None) -> DataFrame:
+    """``path, length, modified`` of the files, without their contents."""
+    return _under(spark, root, excludes).select("path", "length", "modified")
+
+
 def corpus_shape(files: DataFrame) -> DataFrame:
     """Files and bytes of each language, from metadata alone."""
     return files.groupBy("language").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

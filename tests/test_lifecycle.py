@@ -47,24 +47,32 @@ def test_suppressions_come_after_dedup(spark, tree):
 
 def test_incremental_state(spark, tree, tmp_path_factory):
     store = state.StateStore(spark, str(tmp_path_factory.mktemp("state") / "s"))
-    registry = extract.Registry()
+    registry, counts = extract.Registry(), []
 
     def refresh():
         now = registry.with_language(files.source_files(spark, str(tree)))
-        return {r.entity_id for r in scan.refresh(spark, now, store, registry).collect()}
+        found = scan.refresh(spark, now, store, registry)
+        counts.append((found.files, found.changed))
+        return {r.entity_id for r in found.rows.collect()}
 
     assert len(refresh()) == 6
     (tree / "api" / "more.py").write_text("def g(): pass\n")
     assert "api/more.py::g" in refresh()
     (tree / "api" / "users.py").unlink()
     assert refresh() == {"api/more.py::__module__", "api/more.py::g"}
+    for name in "abc":
+        (tree / "api" / f"{name}.py").write_text(f"def {name}(): pass\n")
+    refresh()
+    (tree / "api" / "a.py").write_text("def other(): pass\n")
+    assert "api/a.py::other" in refresh() and "api/a.py::a" not in refresh()
+    assert counts == [(1, 1), (2, 1), (1, 0), (4, 3), (4, 1), (4, 0)]
     with store.lock(), pytest.raises(state.StateLockedError), store.lock():
         pass
-    (store.root / "version").write_text("99")
+    store.folder.write("version", "99")
     with pytest.raises(state.StateVersionError):
-        state.StateStore(spark, str(store.root))
+        state.StateStore(spark, store.root)
     store.purge()
-    assert not store.root.exists()
+    assert not store.folder.exists()
 
 
 def test_watch_takes_what_is_there(spark, tree, tmp_path_factory):
@@ -204,7 +212,56 @@ def test_command_line(spark, tree, capsys):
     main(["check", str(tree), "--report", "json"])
     assert gap["id"] not in capsys.readouterr().out
     assert main(["check", str(tree), "--quiet", "--max-gaps", "99"]) == 0
+    assert main(["check", str(tree), "--quiet", "--max-gaps", "99", "--cold"]) == 0
     assert main(["est", str(tree), "--recalibrate", "--use-synthetic", "--history"]) == 0
-    assert "confidence: " in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "confidence: high, +-5%, 4 runs counted" in shown and "last full run: " in shown and "mining, by past runs: " in shown
     assert main(["check", str(tree), "--config", "/nowhere.toml"]) == 2
+    assert main(["check", str(tree), "--output", str(tree), "--report", "csv"]) == 1
+    assert (tree / "gaps.csv").read_text().startswith("gap_id,short_id,")
+    capsys.readouterr()
+    assert main(["check", str(tree), "--json", "--min-confidence", "1.0"]) in (0, 1)
+    document = json.loads(capsys.readouterr().out)
+    assert document["meta"]["min_confidence"] == 1.0 and document["meta"]["gaps_total"] == len(document["gaps"]) == document["summary"]["gaps"]
+    assert document["meta"]["files_seen"] == 1 and document["meta"]["suppressed"] == 0
+    assert main(["purge", str(tree), "--all"]) == 0 and (tree / ".lacuna").exists()
+    assert main(["purge", str(tree), "--all", "--yes"]) == 0 and not (tree / ".lacuna").exists()
+    assert main(["check", str(tree), "--quiet", "--max-gaps", "99"]) == 0
     assert main(["purge", str(tree)]) == 0 and not (tree / ".lacuna").exists()
+
+
+def test_settings_and_targets(tmp_path, monkeypatch):
+    from lacuna import __main__ as command
+
+    monkeypatch.setattr(command, "SETTINGS", tmp_path / "settings.json")
+    assert command._target(None, "csv") is None and command._target("x.json", "json") == Path("x.json")
+    (tmp_path / "settings.json").write_text(json.dumps({"default_export_path": str(tmp_path)}))
+    assert command._target("", "sarif") == tmp_path / "gaps.sarif"
+
+
+def test_run_records(spark, tmp_path):
+    store = state.StateStore(spark, str(tmp_path / "s"))
+    store.begin_run("r1", root="a")
+    store.begin_run("r2", root="a")
+    done = {"ts": "2024-01-02T00:00:00+00:00", "cores": 4, "version": "1", "root": "a", "by_language_bytes": {"c": 10}, "stage_ms": {"mine": 5.0}}
+    store.end_run("r2", done)
+    runs = config.run_log(spark, store.folder.path(state.RUNS))
+    assert {r.run_id: r.ts is None for r in runs.collect()} == {"r1": True, "r2": False}
+    recent = estimator.recent_runs(runs, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    assert [r.run_id for r in recent.collect()] == ["r2"]
+
+
+def test_locks_elsewhere(spark, tmp_path, monkeypatch):
+    """Where the system can't lock, only one process creates the lock file."""
+    store = state.StateStore(spark, str(tmp_path / "s"))
+    monkeypatch.setattr(state.Folder, "local", lambda self: None)
+    with store.lock(), pytest.raises(state.StateLockedError), store.lock():
+        pass
+    with store.lock():
+        pass
+    assert not store.folder.exists(state.LOCK)
+
+
+def test_human_seconds(spark):
+    rows = spark.createDataFrame([(45.23,), (192.9,), (3860.0,)], "s double").select(names.human_seconds("s"))
+    assert [r[0] for r in rows.collect()] == ["45.2 s", "3 m 12 s", "1 h 4 m"]
