@@ -153,12 +153,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISIT_ALPHABET = [("funnel", [["signup", "login"], ["view", "click"], ["purchase"]], [])]
 
 
-def parts(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Parts as classes, lines shipped in the first half of 1995 as calls of them."""
-    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    shipped = line.filter("l_shipdate >= '1995-01-01' and l_shipdate < '1995-07-01'")
-    classes = entity(part, "class", _text("parts/p", "$p_partkey", ".tbl"), _text("Part", "$p_partkey"), F.lit(0))
-    values = shipped.select(_text("l", "$l_orderkey").alias("entity_id"), F.lit("calls").alias("kind"), _text("store.Part", "$l_partkey").alias("value"))
+def papers(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Documents as classes, labels as functions that call the document they are about."""
+    document, label = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    classes = entity(document, "class", _text("docs/d", "$doc_id", ".tbl"), _text("Doc", "$doc_id"), F.lit(0))
+    values = label.select(_text("l", "$doc_id").alias("entity_id"), F.lit("calls").alias("kind"), _text("store.Doc", "$doc_id").alias("value"))
     return Corpus(classes, values.select("entity_id", "kind").distinct(), values.distinct())
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -137,18 +137,33 @@ def fin4(spark, sf_dir):
     return gaps.select("entity_id", "feature_value", "rule_id", "confidence", "gap_id", "short_id")
 
 
+@BOOK.add(
+    "fin3_ranked",
+    _MEMBERS
+    + """SELECT gap_id, row_number() OVER (ORDER BY confidence DESC, array_position(['decorator', 'calls', 'parent_class', 'has_docstring'], feature_kind),
+  split_part(group_id, '::', 1) <> 'directory', split_part(group_id, '::', 1) <> 'decorator', split_part(group_id, '::', 2), feature_value, entity_id) AS place FROM gaps""",
+)
+def fin3(spark, sf_dir):
+    rows = finalize.ranked(_market(spark, sf_dir)[2].gaps).select("gap_id", F.monotonically_increasing_id().alias("at"))
+    return rows.select("gap_id", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
+@BOOK.add(
+    "fin9_exit_codes",
+    _MEMBERS + ", n AS (SELECT count(*) AS n FROM gaps) SELECT coalesce(CAST(m AS VARCHAR), 'unset') AS max_gaps, CAST(n > coalesce(m, 0) AS INT) AS code FROM n, (VALUES (NULL), (0), (50), (1000000000)) AS v(m)",
+)
+def fin9(spark, sf_dir):
+    n = _market(spark, sf_dir)[2].gaps.count()
+    return spark.createDataFrame([("unset" if m is None else str(m), finalize.exit_code(n, m)) for m in (None, 0, 50, 1_000_000_000)], "max_gaps string, code int")
+
+
 @BOOK.add("fin2_rules_by_id", _MEMBERS + "SELECT rule_id, confidence, support_n FROM rules")
 def fin2(spark, sf_dir):
     found = _market(spark, sf_dir)[2]
     return finalize.rules_by_id(found.rules.unionByName(found.rules)).select("rule_id", "confidence", "support_n")
 
 
-_SUPPRESSED = """, sup AS (SELECT gap_id FROM gaps WHERE substr(sha256(gap_id), 1, 1) IN ('0', '1')),
-own AS (SELECT g.* FROM gaps g WHERE gap_id NOT IN (SELECT gap_id FROM sup))
-"""
-
-
-@BOOK.add("fin5_local_suppressions", _MEMBERS + _SUPPRESSED + "SELECT gap_id FROM own")
+@BOOK.add("fin5_local_suppressions", _MEMBERS + "SELECT gap_id FROM gaps WHERE substr(sha256(gap_id), 1, 1) NOT IN ('0', '1')")
 def fin5(spark, sf_dir):
     gaps = _market(spark, sf_dir)[2].gaps
     listed = gaps.filter(F.substring("short_id", 3, 1).isin("0", "1"))
@@ -238,6 +253,12 @@ def sym8_gaps(spark, sf_dir):
     return symmetry.symmetry_gaps(b.baskets(spark, sf_dir)).gaps.select("rule_id", "entity_id")
 
 
+@BOOK.add("fin1_union", f"SELECT rule_id, entity_id FROM ({_MEMBERS} SELECT rule_id, entity_id FROM gaps) UNION ALL SELECT * FROM ({_SYM}{_SYM_GAPS})")
+def fin1(spark, sf_dir):
+    found = finalize.union_findings([_market(spark, sf_dir)[2], symmetry.symmetry_gaps(b.baskets(spark, sf_dir))])
+    return found.gaps.select("rule_id", "entity_id")
+
+
 @BOOK.add("sym8_dialogue_gaps", _TALK + _SYM_GAPS)
 def sym8_talk(spark, sf_dir):
     return symmetry.symmetry_gaps(b.dialogues(spark, sf_dir)).gaps.select("rule_id", "entity_id")
@@ -276,25 +297,25 @@ def cpr5(spark, sf_dir):
     return symmetry.call_pair_gaps(c.entities, c.values).gaps.select("rule_id", "entity_id")
 
 
-_PARTS = """WITH called AS (SELECT DISTINCT 'Part' || l_partkey AS name FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-07-01'),
-un AS (SELECT 'parts/p' || p_partkey || '.tbl' AS p, 'Part' || p_partkey AS name FROM part WHERE 'Part' || p_partkey NOT IN (SELECT name FROM called))
+_PAPERS = """WITH un AS (SELECT 'docs/d' || doc_id || '.tbl' AS p, 'Doc' || doc_id AS name FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
 """
 
 
-@BOOK.add("clo1_referenced_names", "WITH c AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_shipdate >= '1995-01-01' AND l_shipdate < '1995-07-01') SELECT 'Part' || k AS name FROM c UNION ALL SELECT 'store.Part' || k FROM c")
+@BOOK.add("clo1_referenced_names", "WITH c AS (SELECT DISTINCT doc_id AS k FROM labels) SELECT 'Doc' || k AS name FROM c UNION ALL SELECT 'store.Doc' || k FROM c")
 def clo1(spark, sf_dir):
-    return closure.referenced_names(b.parts(spark, sf_dir).values)
+    return closure.referenced_names(b.papers(spark, sf_dir).values)
 
 
-@BOOK.add("clo3_unreferenced", _PARTS + "SELECT p || '::' || name AS entity_id, name, p AS file_path FROM un")
+@BOOK.add("clo3_unreferenced", _PAPERS + "SELECT p || '::' || name AS entity_id, name, p AS file_path FROM un")
 def clo3(spark, sf_dir):
-    c = b.parts(spark, sf_dir)
+    c = b.papers(spark, sf_dir)
     return closure.unreferenced(c.entities, c.features, c.values).select("entity_id", "name", "file_path")
 
 
-@BOOK.add("clo6_gaps", _PARTS + "SELECT 'closure:' || p || '::closure=' || name || ' (defined but never used)' AS rule_id, p || '::' || name AS entity_id, CAST(1 AS DOUBLE) AS confidence FROM un")
+@BOOK.add("clo6_gaps", _PAPERS + "SELECT 'closure:' || p || '::closure=' || name || ' (defined but never used)' AS rule_id, p || '::' || name AS entity_id, CAST(1 AS DOUBLE) AS confidence FROM un")
 def clo6(spark, sf_dir):
-    c = b.parts(spark, sf_dir)
+    c = b.papers(spark, sf_dir)
     return closure.unused_class_gaps(c.entities, c.features, c.values).gaps.select("rule_id", "entity_id", "confidence")
 
 
@@ -369,6 +390,20 @@ def enr5(spark, sf_dir):
     return found.select("entity_id", F.coalesce("registered", F.lit(False)).alias("registered"))
 
 
+@BOOK.add(
+    "enr6_enriched",
+    f"""WITH {b.MARKET_SQL}, reg(suffix, class) AS (VALUES ('n1/s.tbl', 'S1'), ('n3/s.tbl', 'S12'), ('s.tbl', 'S20')),
+hit AS (SELECT DISTINCT entity_id, file_path FROM ent JOIN reg ON ends_with(file_path, suffix) AND ends_with(entity_id, '::' || class) WHERE kind = 'class'),
+near AS (SELECT entity_id FROM ent WHERE kind = 'class' AND regexp_replace(file_path, '/[^/]*$', '') IN (SELECT regexp_replace(file_path, '/[^/]*$', '') FROM hit)),
+f AS (SELECT entity_id, kind FROM feats UNION ALL SELECT entity_id, 'sibling_test' FROM ent WHERE kind = 'function' UNION ALL SELECT entity_id, 'entry_point_registered' FROM near),
+v AS (SELECT entity_id, kind, value FROM vals UNION ALL SELECT entity_id, 'entry_point_registered', 'registered' FROM near WHERE entity_id IN (SELECT entity_id FROM hit))
+SELECT f.entity_id, f.kind, v.value FROM f LEFT JOIN v ON v.entity_id = f.entity_id AND v.kind = f.kind""",
+)
+def enr6(spark, sf_dir):
+    found = enrichment.enrich(b.market(spark, sf_dir), spark.createDataFrame(REGISTERED, "suffix string, class string"))
+    return found.features.join(found.values, ["entity_id", "kind"], "left").select("entity_id", "kind", "value")
+
+
 @BOOK.add("view4_kind_histogram", f"WITH {b.MARKET_SQL} SELECT kind, count(*) AS n FROM ent GROUP BY 1")
 def view4(spark, sf_dir):
     return views.kind_histogram(b.market(spark, sf_dir).entities)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import closure, estimator, views
 from ..sinks import tables
-from ..sources import files, state
+from ..sources import config, extract, files, state
 from . import bindings as b
 from . import q_mining
 from .book import Book
@@ -186,6 +186,118 @@ def inc4(spark, sf_dir):
     return state.upserted(stored, current)
 
 
+@BOOK.add(
+    "inc5_cold_files",
+    _STATE + "SELECT path FROM cur WHERE path NOT IN (SELECT path FROM old) OR hash <> (SELECT hash FROM old WHERE old.path = cur.path) OR starts_with(path, 'd/en/') OR path = 'd/es/7.txt'",
+)
+def inc5(spark, sf_dir):
+    current, stored = _state(spark, sf_dir)
+    return state.changed_files(current, stored, cold=["/d/en/", "d/es/7.txt"]).select("path")
+
+
+@BOOK.add("inc5_cold_everything", _STATE + "SELECT path FROM cur")
+def inc5_all(spark, sf_dir):
+    return state.changed_files(*_state(spark, sf_dir), cold=["."]).select("path")
+
+
+@BOOK.add(
+    "inc6_new_extractor",
+    "SELECT 'd/' || doc_id AS path, sha256(text || 'v2') AS hash FROM documents",
+)
+def inc6_fingerprint(spark, sf_dir):
+    """Another fingerprint makes every file a changed one."""
+    docs = b.table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    stored = rows.select("path", state.content_hash("content", "v1").alias("hash"))
+    return state.changed_files(rows.select("path", state.content_hash("content", "v2").alias("hash")), stored).select("path", "hash")
+
+
+@BOOK.add(
+    "inc8_bytes_by_language",
+    """SELECT CASE WHEN p_type LIKE '%STEEL%' THEN 'python' WHEN p_type LIKE '%BRASS%' THEN 'cpp' ELSE 'bash' END AS language,
+  count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1""",
+)
+def inc8(spark, sf_dir):
+    kind = F.col("p_type")
+    ending = F.when(kind.contains("STEEL"), ".py").when(kind.contains("BRASS"), ".hpp").otherwise(".sh")
+    rows = b.table(spark, sf_dir, "part").select(F.concat(F.lit("a/x"), ending).alias("path"), F.col("p_size").cast("long").alias("length"))
+    return state.bytes_by_language(extract.Registry().with_language(rows))
+
+
+@BOOK.add(
+    "inc10_suppressed_again",
+    "SELECT 'g-' || c_custkey AS short_id, CASE WHEN c_acctbal > 0 THEN 'reviewed' ELSE 'old' END AS reason FROM customer WHERE c_mktsegment <> 'BUILDING'",
+)
+def inc10(spark, sf_dir):
+    """Suppressed, suppressed again with another reason, and some taken back."""
+    rows = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("g-"), F.col("c_custkey").cast("string")).alias("short_id"), "c_acctbal", "c_mktsegment")
+    stored = rows.select("short_id", F.lit("old").alias("reason"))
+    again = rows.filter("c_acctbal > 0").select("short_id", F.lit("reviewed").alias("reason"))
+    back = rows.filter("c_mktsegment = 'BUILDING'").select("short_id")
+    return state.upserted(stored, again, "short_id").join(back, "short_id", "left_anti")
+
+
+def _block(spark, sf_dir) -> str:
+    """A block a nation, as a project would write it."""
+    rows = b.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    scopes = ['scope = "rule_global"\n', ""]
+    return "".join(f'[[suppress]]\nentity = "n{r.n_nationkey}"\nrule = "{r.n_name}"\n{scopes[r.n_regionkey % 2]}created = 2024-01-0{r.n_regionkey + 1}\n' for r in rows)
+
+
+@BOOK.add(
+    "src9_toml_suppressions",
+    """SELECT 'n' || n_nationkey AS entity, n_name AS rule, CASE WHEN n_regionkey % 2 = 0 THEN 'rule_global' END AS scope,
+  '2024-01-0' || (n_regionkey + 1) AS created FROM nation""",
+)
+def src9(spark, sf_dir):
+    return config.suppressions(spark, _block(spark, sf_dir)).select("entity", "rule", "scope", "created")
+
+
+@BOOK.add("src10_entry_points", "SELECT 'pkg/n' || n_nationkey || '.py' AS suffix, 'N' || n_regionkey AS class FROM nation WHERE n_regionkey > 0")
+def src10(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    lines = "".join(f'e{r.n_nationkey} = "pkg.n{r.n_nationkey}' + (f':N{r.n_regionkey}[x]"\n' if r.n_regionkey else '"\n') for r in rows)
+    return config.entry_points(spark, f'[project.entry-points."a.b"]\n{lines}')
+
+
+@BOOK.add(
+    "src11_run_log",
+    f"""WITH {b.DAY_RUNS_SQL} SELECT run_id, CASE WHEN day(ts) % 4 <> 0 THEN ts END AS ts, cores, bytes * 2 AS bytes, mine_ms FROM runs""",
+)
+def src11(spark, sf_dir):
+    """Records as they stand in a log: sizes by language, times as text, some unreadable."""
+    rows = b.day_runs(spark, sf_dir)
+    stamp = F.when(F.dayofmonth("ts") % 4 == 0, "some day").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    sizes = F.create_map(F.lit("c"), F.col("bytes"), F.lit("go"), F.col("bytes"))
+    raw = rows.select("run_id", stamp.alias("ts"), "cores", "version", "root", sizes.alias("by_language_bytes"), F.create_map(F.lit("mine"), F.col("mine_ms")).alias("stage_ms"))
+    return config.runs(raw).select("run_id", "ts", "cores", "bytes", "mine_ms")
+
+
+@BOOK.add("est5_jobs_points", "WITH n AS (SELECT CAST(count(*) AS INT) AS n FROM nation) SELECT jobs FROM n, (VALUES (1), (2), (4), (8), (16), (32)) v(jobs) WHERE jobs <= n UNION SELECT n FROM n")
+def est5(spark, sf_dir):
+    return estimator.jobs_points(spark, b.table(spark, sf_dir, "nation").count())
+
+
+@BOOK.add(
+    "est13_synthetic_files",
+    """SELECT printf('synthetic/mod_%03d.py', i) AS path, (SELECT string_agg(printf('def step_%d_%d(value):' || chr(10) || '    return check(value)' || chr(10), i, k), chr(10) ORDER BY k)
+  FROM (SELECT unnest(generate_series(0, 9)) AS k)) AS content FROM (SELECT unnest(generate_series(0, (SELECT count(*) FROM nation) - 1)) AS i)""",
+)
+def est13(spark, sf_dir):
+    made = estimator.synthetic_files(spark, b.table(spark, sf_dir, "nation").count())
+    return made.select("path", F.decode("content", "UTF-8").alias("content"))
+
+
+@BOOK.add(
+    "sca24_seconds",
+    """SELECT o_orderkey, CASE WHEN o_orderkey < 60 THEN printf('%.1f s', o_orderkey::DOUBLE)
+  WHEN o_orderkey < 3600 THEN printf('%d m %2d s', o_orderkey // 60, o_orderkey % 60)
+  ELSE printf('%d h %d m', o_orderkey // 3600, o_orderkey % 3600 // 60) END AS shown FROM orders""",
+)
+def sca24_seconds(spark, sf_dir):
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", names.human_seconds("o_orderkey").alias("shown"))
+
+
 @BOOK.add("inc6_last_definitions", "SELECT entity_id, ordinal, value FROM (SELECT 'c' || o_custkey AS entity_id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS ordinal, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders) WHERE nth = 1")
 def inc6(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").select(
@@ -255,6 +367,20 @@ def est3(spark, sf_dir):
     return found.select("jobs", F.round("parallel_s", 9).alias("parallel_s"), F.round("speedup", 6).alias("speedup"), F.round("efficiency", 6).alias("efficiency"))
 
 
+@BOOK.add(
+    "est11_report",
+    _SERIAL
+    + """, j(jobs) AS (VALUES (1), (2), (4), (8), (12)), w AS (SELECT jobs, serial_s * 1000 AS serial_s,
+  least(serial_s * 1000, serial_s * 1000 / (CASE WHEN jobs <= 1 THEN 1 ELSE 1 / (0.45::DOUBLE + 0.55::DOUBLE / jobs) END) + (jobs - 1) * 0.06::DOUBLE) AS p FROM s, j)
+SELECT jobs AS at, 'jobs ' || jobs || ': ' || CASE WHEN p < 60 THEN printf('%.1f s', round(p, 1)) ELSE printf('%d m %2d s', CAST(floor(p / 60) AS BIGINT), CAST(floor(p % 60) AS BIGINT)) END
+  || printf(', %.2f x', round(serial_s / p, 2)) || printf(', efficiency %.0f %%', round(serial_s / p / jobs * 100)) AS text FROM w""",
+)
+def est11(spark, sf_dir):
+    shape, table = _shape(spark, sf_dir)
+    curve = estimator.jobs_curve(shape.withColumn("bytes", F.col("bytes") * 1000), table, most=12)
+    return estimator.report(curve)
+
+
 @BOOK.add(
     "est4_fit_amdahl",
     """WITH o AS (SELECT l_linenumber AS jobs, CAST(count(*) AS DOUBLE) AS seconds FROM lineitem GROUP BY 1),
