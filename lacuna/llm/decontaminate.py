@@ -6,10 +6,12 @@ has as many words as the item (or all, if the document has fewer).  A document
 contains an item if some window's weighted shingle similarity, the sum of least
 counts over the sum of greatest counts, is ``SIMILARITY`` = 0.8 or more.
 
-1. *Starts.*  Such a window holds at least 0.8 of the item's shingles, so only
-   documents that share as many are windowed.  Sliding a window right to the next
-   shared shingle loses none, so windows start at shared shingles alone, or end
-   with the text.  Nothing is lost by this.
+1. *Starts.*  Such a window holds at least 0.8 of the item's shingles.  So the
+   document shares one of any fifth of them and one more: the search joins on those
+   that fewest items hold.  Of the pairs found, only documents that share 0.8 of the
+   item's shingles are windowed.  Sliding a window right to the next shared shingle
+   loses none, so windows start at shared shingles alone, or end with the text, and
+   hold 0.8 of the item's shingles themselves.  Nothing is lost by this.
 2. *Fingerprints.*  Every window gets a 64-bit SimHash of its shingles, summed two
    bits to a long in hash aggregation.
 3. *Multi-index blocks.*  Two fingerprints within ``RADIUS`` = 24 bits differ in at
@@ -25,7 +27,7 @@ Empty tables give no rows.  Columns besides the id and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, identified, same_doc
@@ -60,6 +62,18 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("item_id", F.xxhash64("w").alias("variant"), F.size("w").alias("item_words"), "k", F.size("hashes").alias("item_n"), "hashes")
 
 
+def _rarest(known: DataFrame, item: list[str]) -> DataFrame:
+    """Of every item the shingles of which a document must share one to share 0.8 of them.
+
+    They are those that fewest items hold: one lies among any that outnumber what may be missing.
+    """
+    held = known.groupBy("k", "h").agg(F.count("*").alias("held"))
+    before = Window.partitionBy(*item).orderBy("held", "h").rowsBetween(Window.unboundedPreceding, -1)
+    placed = known.join(held, ["k", "h"]).withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    may_miss = F.col("item_n") - F.ceil(SIMILARITY * F.col("item_n") - 1e-9)
+    return placed.filter(F.col("before") <= may_miss).select(*item, "k", "h")
+
+
 def _fingerprint(shingles: DataFrame, keys: list[str]) -> DataFrame:
     """SimHash of the ``h`` rows of each key: two bit counts share each of 32 sums."""
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(32)]
@@ -91,41 +105,49 @@ def contaminated(
     items = cut(_items(benchmark, item_id, item_text), "items")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("item_n"), F.lit(0)).alias("s"), F.collect_set("k").alias("k")).head()
     item = ["item_id", "variant"]
-    known = items.select(*item, "item_words", "k", "item_n", F.explode(F.array_distinct("hashes")).alias("h"))
-    known = bounded(known, size.s, 64)
+    sizes = [*item, "item_words", "k", "item_n"]
+    known = items.select(*sizes, F.explode("hashes").alias("h")).groupBy(*sizes, "h").agg(F.count("*").alias("weight"))
+    known = cut(known, "shingles")
+    rarest = cut(_rarest(known, item), "rarest")
+    n_rarest = rarest.count()
 
-    hits = None
+    pairs = None
     words = rows.select("doc_id", "tag", _words(F.col("text")).alias("w"))
     for k in sorted(size.k):  # five at most, and one where no item is shorter than a shingle
-        each = words.select("doc_id", "tag", F.size("w").alias("n_words"), F.posexplode(_hashes("w", k)).alias("at", "h"))
         # a document with fewer words than a shingle has one shingle of all its words, which no longer item has
-        each = each.join(known.filter(F.col("k") == k), "h")
-        hits = each if hits is None else hits.unionByName(each)
-    if hits is None:
+        each = words.select("doc_id", "tag", F.explode(_hashes("w", k)).alias("h"))
+        each = each.join(bounded(rarest.filter(F.col("k") == k).drop("k"), n_rarest, 32), "h").drop("h")
+        pairs = each if pairs is None else pairs.unionByName(each)
+    if pairs is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, tag int, item_id long, start int, similarity double, distance int")
     one_doc = ["doc_id", "tag", *item]
-    pairs = hits.groupBy(*one_doc, "n_words", "item_words", "k", "item_n").agg(F.collect_set("at").alias("ats"))
-    pairs = pairs.filter(F.size("ats") >= F.ceil(SIMILARITY * F.col("item_n") - 1e-9))
-    start = F.greatest(F.lit(0), F.least(F.col("at"), F.col("n_words") - F.col("item_words")))
-    starts = pairs.select(*one_doc, "item_words", "k", "item_n", F.explode("ats").alias("at"), "n_words")
-    starts = starts.select(*one_doc, "k", "item_n", start.alias("start")).distinct()
-    starts = cut(starts, "starts")
-
-    wanted = starts.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*item, "k", "item_n", "start")).alias("asked"))
-    wanted = cut(wanted, "asked")
-    n_docs, n_starts = wanted.count(), starts.count()
-    small = bounded(wanted, n_docs + n_starts, 64)
-    texts = rows.join(small, same_doc(rows, wanted)).select(rows["doc_id"], rows["tag"], "text", "asked")
+    pairs = cut(pairs.distinct(), "candidates")
+    asked = cut(pairs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*item)).alias("asked")), "asked")
+    few = bounded(asked, asked.count() + pairs.count(), 40)
+    texts = rows.join(few, same_doc(rows, asked)).select(rows["doc_id"], rows["tag"], "text", "asked")
+    texts = texts.dropDuplicates(["doc_id", "tag"])  # repeated rows: one is enough
     texts = texts.select("doc_id", "tag", "asked", _words(F.col("text")).alias("w"))
-    spans = []
+    held = None
     for k in sorted(size.k):
-        held = texts.select("doc_id", "tag", "asked", _hashes("w", k).alias("hashes"))
-        one = held.select("doc_id", "tag", "hashes", F.explode(F.expr(f"filter(asked, a -> a.k = {k})")).alias("a"))
-        one = one.select("doc_id", "tag", "a.*", F.expr("slice(hashes, a.start + 1, a.item_n)").alias("hs"))
-        spans.append(one.dropDuplicates([*one_doc, "start"]))  # repeated rows: one is enough
-    windows = spans[0]
-    for more in spans[1:]:
-        windows = windows.unionByName(more)
+        one = texts.select("doc_id", "tag", "asked", F.lit(k).alias("k"), F.size("w").alias("n_words"), _hashes("w", k).alias("hashes"))
+        held = one if held is None else held.unionByName(one)
+    held = cut(held, "held")
+
+    at = held.select("doc_id", "tag", "asked", "n_words", F.col("k").alias("in_k"), F.posexplode("hashes").alias("at", "in_h"))
+    is_asked = F.exists("asked", lambda a: a["item_id"].eqNullSafe(F.col("item_id")) & (a["variant"] == F.col("variant")))
+    hits = at.join(bounded(known.drop("weight"), size.s, 64), (F.col("in_h") == F.col("h")) & (F.col("in_k") == F.col("k")) & is_asked)
+    hits = hits.groupBy(*one_doc, "n_words", "item_words", "k", "item_n").agg(F.collect_list("at").alias("ats"))
+    # a window that shares too few positions with the item is not similar enough, whatever their weights
+    need = F.ceil(SIMILARITY * F.col("item_n") - 1e-9).cast("int")
+    hits = hits.filter(F.size("ats") >= need).withColumn("ats", F.array_sort("ats")).withColumn("need", need)
+    hits = hits.withColumn("last", F.greatest(F.lit(0), F.col("n_words") - F.col("item_words")))
+    full = F.transform("ats", lambda x, i: F.when((x <= F.col("last")) & (F.get("ats", i + F.col("need") - 1) < x + F.col("item_n")), x))
+    end = F.when(F.size(F.filter("ats", lambda x: x >= F.col("last"))) >= F.col("need"), F.col("last"))
+    start = F.explode(F.array_distinct(F.array_compact(F.concat(full, F.array(end))))).alias("start")
+    starts = cut(hits.select(*one_doc, "k", "item_n", start), "starts")
+    of = held.select(F.col("doc_id").alias("of_doc"), F.col("tag").alias("of_tag"), F.col("k").alias("of_k"), "hashes")
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag")) & (F.col("k") == F.col("of_k"))
+    windows = starts.join(of, on).select(*one_doc, "k", "item_n", "start", F.expr("slice(hashes, start + 1, item_n)").alias("hs"))
     windows = cut(windows, "windows")
 
     window = [*one_doc, "start"]
@@ -153,8 +175,7 @@ def contaminated(
         on = on & F.col(c).eqNullSafe(F.col(f"near_{c}"))
     found = windows.select(*window, "hs").join(pick, on).select(*window, "near_n", "near_item_n", "distance", F.explode("hs").alias("h"))
     counts = found.groupBy(*window, "near_n", "near_item_n", "distance", "h").agg(F.count("*").alias("c"))
-    weights = items.select(*[F.col(c).alias(f"of_{c}") for c in item], F.explode("hashes").alias("of_h"))
-    weights = bounded(weights.groupBy("of_item_id", "of_variant", "of_h").agg(F.count("*").alias("weight")), size.s, 48)
+    weights = bounded(known.select(*[F.col(c).alias(f"of_{c}") for c in (*item, "h")], "weight"), size.s, 48)
     on = (F.col("h") == F.col("of_h")) & F.col("item_id").eqNullSafe(F.col("of_item_id")) & (F.col("variant") == F.col("of_variant"))
     shared = counts.join(weights, on).groupBy(*window, "near_n", "near_item_n", "distance").agg(F.sum(F.least("c", "weight")).alias("m"))
     similar = shared.withColumn("similarity", F.col("m") / (F.col("near_n") + F.col("near_item_n") - F.col("m")))
