@@ -17,7 +17,7 @@ from lacuna.llm import decontaminate, line_dedup, packing, similar, toxicity
 from lacuna.llm.common import cut
 
 #: Documents that score this or more are rejected.
-TOXIC = 0.5
+TOXIC = toxicity.THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later occurrences of three-line windows; ``n_chars`` follows the text."""
+    """Texts without later occurrences of three-line windows; ``n_chars`` follows the text, null text is empty."""
     left = line_dedup.line_dedup(docs, rest=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return left.select(*[new[c].alias(c) if c in new else F.col(f"rest.`{c}`") for c in docs.columns])
