@@ -160,7 +160,7 @@ def nearest(
         norms = np.concatenate([b["norm"].to_numpy() for b in held])
         codes = np.frombuffer(b"".join(x for b in held for x in b["code"].to_pylist()), np.uint8).reshape(len(reps), -1)
         by = np.argsort(reps, kind="stable")  # ties of a score go to the smaller id
-        reps, marks, norms, codes = reps[by], marks[by], norms[by], codes[by].astype(np.int64)
+        reps, marks, norms, codes = reps[by], marks[by], norms[by], codes[by]
         fs, place = open_store(blocks)
         names = sorted(f.path for f in fs.get_file_info(_under(place)) if f.path.endswith(".parquet"))
         for name in names:
@@ -174,7 +174,7 @@ def nearest(
                 best = np.zeros((len(vectors), 0), np.float32)
                 where = np.zeros((len(vectors), 0), np.int64)
                 for at in range(0, len(reps), 2048):
-                    part = codes[at : at + 2048]
+                    part = codes[at : at + 2048].astype(np.int64)
                     score = np.broadcast_to(norms[at : at + 2048], (len(vectors), len(part))).copy()
                     for m in range(part.shape[1]):
                         score -= 2 * tables[m][:, part[:, m]]

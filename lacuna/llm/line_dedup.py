@@ -6,7 +6,7 @@ later one, is a later occurrence.  Windows are ordered by (doc_id, checksum of
 the text, line number), nulls first.  The lines that later occurrences cover are
 merged and removed; the first occurrence stays.
 
-Null text is empty.  Texts under three lines have no windows and stay as they
+Null text is empty, also in what is returned.  Texts under three lines have no windows and stay as they
 are.  Rows equal in id and text count as one document and share its result; null
 ids are kept.  An empty table gives no rows.  Other columns are not read.
 """
