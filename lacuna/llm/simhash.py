@@ -65,7 +65,11 @@ def shingle_hashes(text: str, n: int = SHINGLE) -> list[int]:
 
 def fingerprint(text: str) -> int:
     """Unsigned 64-bit fingerprint of one text."""
-    hashes = shingle_hashes(text)
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
+    """The fingerprint of shingles by their hashes, repeats counted."""
     if not hashes:
         return 0
     set_in = np.zeros(64, np.int64)

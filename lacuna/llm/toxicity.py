@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, identified, text_slices, within_bytes
+from .common import bounded_sample, identified, small_batches, text_slices, within_bytes
 
 WINDOW = 48
 #: A bag counts as so many tokens at least, so that one odd word is not all of a short text.
@@ -227,8 +227,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return Model(out, float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 2) -> tuple[list[str], list[int]]:
-    """The bounded training sample, whole texts of any length: no row that is held out."""
+def sample(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 2) -> DataFrame:
+    """The bounded training sample ``doc_id, text, y``, whole texts of any length: no row that is held out."""
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     if held_out is not None:
@@ -242,8 +242,23 @@ def sample(docs: DataFrame, labels: DataFrame, *, held_out: int | None = 2) -> t
     # at most 2 x SAMPLE ids
     rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = within_bytes(rows, "text", SAMPLE_BYTES, "doc_id")
-    found = rows.orderBy("doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("y")).toArrow()
-    return found["text"].to_pylist(), found["y"].to_pylist()
+    return rows.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y"))
+
+
+def fit(some: DataFrame) -> Model:
+    """``train`` on a bounded sample, in one task: neither texts nor embeddings come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            labels += batch["y"].to_pylist()
+        model = train(texts, labels)
+        yield pa.RecordBatch.from_pydict({"pull": [model.pull.tobytes()], "bias": [model.bias]})
+
+    small_batches(some.sparkSession)
+    made = some.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "pull binary, bias double").head()
+    return Model(np.frombuffer(made.pull), made.bias) if made else train([], [])
 
 
 def score_texts(model: Model, texts: list[str], memo: dict[str, float]) -> np.ndarray:
@@ -277,7 +292,7 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    found = toxicity(docs, train(*sample(docs, labels)))
+    found = toxicity(docs, fit(sample(docs, labels)))
     return found.select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -7,8 +8,9 @@ from helpers import compare
 from lacuna.llm import ann, decontaminate, licenses, queries, toxicity
 
 
-def test_toxicity_held_out(spark, sf_dir):
-    path = sf_dir.replace("sf0.001", "sf0.1")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out(spark, sf_dir, size):
+    path = sf_dir.replace("sf0.001", size)
     docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.op3(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in rows if r.held_out]
@@ -18,9 +20,56 @@ def test_toxicity_held_out(spark, sf_dir):
     clean = [r.score for r in held if not r.toxic]
     above = np.mean([[t > c for c in clean] for t in toxic])
     assert above > 0.85
+    assert np.mean([t >= 0.3 for t in toxic]) > 0.65
     assert np.mean([c < 0.3 for c in clean]) > 0.93
 
 
+def plain_score(model, text):
+    """The score of a text by plain loops, from the trained table and bias alone."""
+    full, mul, turn = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def rows(word):
+        points = [(ord(c) + 1) * mul & full for c in f"<{word}>"]
+        points = [p ^ (p >> 29) for p in points]
+        found = [(sum(p * (2 * i + 1) for i, p in enumerate(points)) * mul + 99) & full]
+        for n in (3, 4, 5):
+            for i in range(len(points) - n + 1):
+                rolled = 0
+                for p in points[i : i + n]:
+                    rolled = (rolled * turn & full) ^ p
+                found.append((rolled * mul + n) & full)
+        return [((r ^ (r >> 33)) * mul & full) >> 46 for r in found]
+
+    pulls, last = [], {}
+    for i, token in enumerate(text.lower().split()):
+        if token not in last or i - last[token] > 48:
+            own = rows(token.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…–—“”‘’"))
+            pulls.append(sum(model.pull[r] for r in own) / len(own))
+        last[token] = i
+    width = min(48, len(pulls))
+    best = max((sum(pulls[i : i + width]) / max(width, 24) for i in range(len(pulls) - width + 1)), default=0.0) if pulls else 0.0
+    return 1 / (1 + math.exp(-max(-500, min(500, best + model.bias))))
+
+
+def test_scores_equal_plain_loops(spark, documents, texts, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(toxicity.sample(documents, labels))
+    found = {r.doc_id: r.score for r in toxicity.op3(documents, labels).collect()}
+    assert set(found) == set(texts) and model.pull.any()
+    for i in sorted(texts)[:80]:
+        assert found[i] == pytest.approx(plain_score(model, texts[i] or ""), abs=1e-9)
+
+
+def test_whole_long_texts_are_sampled(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
+    docs = spark.createDataFrame([(i, f"word{i} " * (20_000 if i == 3 else 5)) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, held_out=None).collect()
+    assert len(rows) == 8 and sum(r.y for r in rows) == 4 and max(len(r.text) for r in rows) == 120_000
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 100_000)
+    assert 0 < toxicity.sample(docs, labels, held_out=None).count() < 8
+
+
 def test_misspellings_share_ngrams():
     texts = [f"a quiet day with some {w} around here number {i}" for i, w in enumerate(["horrible", "pleasant"] * 60)]
     model = toxicity.train(texts, [1, 0] * 60)
@@ -44,6 +93,83 @@ def test_licences(spark):
     assert found == {0: "Apache-2.0", 1: "MIT", 2: "unknown", 3: "CC-BY-SA"}
 
 
+@pytest.fixture(scope="module")
+def licence_model(documents):
+    return licenses.train(licenses.plain_paragraphs(documents))
+
+
+#: Phrasings that no training text has, and what they are.
+PHRASINGS = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    " * SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "SPDX-License-Identifier: Zlib": "unknown",
+    "License: Zlib": "unknown",
+    "license = \"MIT\"": "MIT",
+    "GPLv3": "GPL-3.0",
+    "The Unlicense": "Unlicense",
+    "This code has been released under the Unlicense": "Unlicense",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "ISC",
+    "This module is free software; you may redistribute it and/or modify it under the terms of the GNU General Public License, version 2": "GPL-2.0",
+    "The library is released under the MIT License (see LICENSE).": "MIT",
+    "Licensed to you under the Apache License, Version 2.0": "Apache-2.0",
+    "This documentation is made available under a Creative Commons Attribution 4.0 International License": "CC-BY",
+    "Distributed under the Boost Software License, Version 1.0.": "unknown",
+    "Licensed under the EUPL, Version 1.2 or later": "unknown",
+    "The PostgreSQL License permits use, copying and distribution of this software without fee": "unknown",
+    "He got his license at the age of 18 and drove to the public beach.": None,
+    "Copies of the map were sold to the public in the general store.": None,
+    "The version of the story that she told was never published.": None,
+    "mit": None,
+}
+
+
+def test_licence_phrasings(licence_model):
+    found = {p: [r[2] for r in licenses.scan_text(licence_model, p)] for p in PHRASINGS}
+    wrong = {p: f for p, f in found.items() if f != ([PHRASINGS[p]] if PHRASINGS[p] else [])}
+    assert not wrong
+
+
+def test_licence_paragraphs(licence_model):
+    header = """\
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+
+int main() { return 0; }
+This program is free software: you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the
+Free Software Foundation, either version 3 of the License, or later."""
+    found = [r[:3] for r in licenses.scan_text(licence_model, header)]
+    assert found == [(0, 2, "Apache-2.0"), (3, 3, "Apache-2.0"), (8, 3, "GPL-3.0")]
+    comment = "# the sea was calm\n# and so were we\n# Released under the MIT License.\n# until the morning came"
+    assert [r[:3] for r in licenses.scan_text(licence_model, comment)] == [(2, 1, "MIT")]
+    long = "the quiet sea of the north\n" * 50_000
+    assert [r[:3] for r in licenses.scan_text(licence_model, f"{long}Released under the MIT License.\n{long}")] == [(50_000, 1, "MIT")]
+
+
+def test_licence_probabilities_equal_plain_loops(licence_model):
+    model = licence_model
+    for text in [*PHRASINGS, "Released under the MIT License.", "no words of any kind", ""]:
+        found = licenses.words(text)
+        grams = {tuple(found[i : i + n]) for n in (1, 2, 3) for i in range(len(found) - n + 1)}
+        z = []
+        for k in range(len(licenses.CLASSES)):
+            z.append((model.bias[k] + sum(model.weights[model.index[g]][k] for g in grams if g in model.index) / math.sqrt(len(found) + 1)) / model.temperature)
+        e = [math.exp(x - max(z)) for x in z]
+        assert model.probabilities([found])[0].tolist() == pytest.approx([x / sum(e) for x in e])
+
+
+def test_licence_ties(licence_model):
+    """Two families alike: the first of them, and not sure of either."""
+    flat = licenses.Model(licence_model.index, np.zeros_like(licence_model.weights), np.zeros(len(licenses.CLASSES)), 1.0)
+    assert licenses.judge(flat, [["some", "words"]]) == [("unknown", pytest.approx(1 / len(licenses.CLASSES)), 0.0)]
+    assert not flat.silent and len(licenses.scan_text(flat, "some words")) == 1
+
+
 def test_licences_of_the_documents(documents, texts):
     notices = {
         "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
@@ -123,3 +249,24 @@ def test_awkward_rows(spark, awkward, nothing):
     assert decontaminate.op10(nothing, items).count() == 0 and decontaminate.op10(awkward, items.limit(0)).count() == 0
     left = decontaminate.without_leaks(awkward, items)
     assert left.count() == n - 1 and left.columns == awkward.columns
+
+
+def test_clashing_columns(spark):
+    rows = [(100 * i, [float(i), 1.0], 1, 2.0, "x") for i in range(3)] + [(7, [0.5, 1.0], 3, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double, query_id string")
+    found = ann.op9(df).filter("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [7, 100, 200]
+    docs = spark.createDataFrame([(1, "one two three four five six", 3, "i")], "doc_id long, text string, start int, item_id string")
+    items = spark.createDataFrame([(5, "one two three four five six", 9, "v")], "item_id long, text string, doc_id int, variant string")
+    assert [(r.doc_id, r.item_id, r.start) for r in decontaminate.op10(docs, items).collect()] == [(1, 5, 0)]
+
+
+def test_shared_shingles_cost_no_item(spark):
+    """Items that share most of their shingles, and a very long text of one of them."""
+    common = " ".join(f"c{i}" for i in range(30))
+    items = spark.createDataFrame([(i, f"{common} own{i} end{i}") for i in range(20)], "item_id long, text string")
+    long = "word " * 200_000
+    docs = spark.createDataFrame([(1, f"{long}{common} own3 end3 {long}"), (2, common), (3, "c0 c1 c2 c3 c4 " * 50)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): round(r.similarity, 3) for r in decontaminate.op10(docs, items).collect()}
+    # 26 of 28 shingles in any item: 26 / 30 beside the item itself, and 26 / 28 for the common words alone
+    assert found == {(1, i): 1.0 if i == 3 else round(26 / 30, 3) for i in range(20)} | {(2, i): round(26 / 28, 3) for i in range(20)}

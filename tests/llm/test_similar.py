@@ -50,9 +50,10 @@ def invented():
     return {i: " ".join(t) for i, t in enumerate(texts)} | {9000: "", 9001: None, 9002: "one two", 9003: "ONE  two"}
 
 
-@pytest.mark.parametrize("pairs", [similar.PAIRS, 0])
-def test_invented(spark, monkeypatch, pairs):
-    monkeypatch.setattr(similar, "PAIRS", pairs)
+@pytest.mark.parametrize(("crowd", "rounds"), [(similar.CROWD, similar.ROUNDS), (1, 1), (8, 0)])
+def test_invented(spark, monkeypatch, crowd, rounds):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
     texts = invented()
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, lang string")
     expected = survivors(texts)
