@@ -205,6 +205,8 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--all", action="store_true")
             c.add_argument("--yes", action="store_true")
     args = top.parse_args(argv)
+    if os.path.isdir(args.path):  # the JVM has a working directory of its own
+        args.path = os.path.abspath(args.path)
     builder = SparkSession.builder.appName("lacuna").config("spark.sql.session.timeZone", "UTC")
     if "jobs" in args:
         args.jobs = args.jobs or config.json_settings(SETTINGS, UNSET)["jobs_default"]

@@ -202,7 +202,7 @@ def test_views(spark):
     found.release()
 
 
-def test_command_line(spark, tree, capsys):
+def test_command_line(spark, tree, capsys, monkeypatch):
     from lacuna.__main__ import main
 
     assert main(["check", str(tree), "--report", "json"]) == 1
@@ -226,8 +226,10 @@ def test_command_line(spark, tree, capsys):
     assert document["meta"]["files_seen"] == 1 and document["meta"]["suppressed"] == 0
     assert main(["purge", str(tree), "--all"]) == 0 and (tree / ".lacuna").exists()
     assert main(["purge", str(tree), "--all", "--yes"]) == 0 and not (tree / ".lacuna").exists()
-    assert main(["check", str(tree), "--quiet", "--max-gaps", "99"]) == 0
-    assert main(["purge", str(tree)]) == 0 and not (tree / ".lacuna").exists()
+    monkeypatch.chdir(tree)
+    assert main(["check", "--json"]) == 1
+    assert json.loads(capsys.readouterr().out)["gaps"][0]["entity"]["file_path"] == "api/users.py"
+    assert main(["purge"]) == 0 and not (tree / ".lacuna").exists()
 
 
 def test_settings_and_targets(tmp_path, monkeypatch):
