@@ -23,7 +23,7 @@ TOXIC = toxicity.THRESHOLD
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on all labels, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(*toxicity.sample(docs, labels, held_out=None))
+    model = toxicity.fit(toxicity.sample(docs, labels, held_out=None))
     return toxicity.toxicity(docs, model, rest=True).filter(F.col("score") < TOXIC).select("rest.*")
 
 
