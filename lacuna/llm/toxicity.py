@@ -158,18 +158,19 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(_stripped(t), len(index)) for t in tokens(x)], np.int32) for x in texts]
     words, y = list(index), np.array(labels)
-    rows, owners = [], []
-    for at in range(0, len(words), 20_000):  # slices bound the driver's memory
+    rows, counts = [], []
+    for at in range(0, len(words), 20_000):  # slices, and no array of owners, bound the memory
         r, o = features(words[at : at + 20_000])
         rows.append(r.astype(np.int32))
-        owners.append((o + at).astype(np.int32))
-    rows, owners = np.concatenate(rows), np.concatenate(owners)
-    per = np.bincount(owners, minlength=len(words)).astype(np.float32)
-    spans = np.append(np.searchsorted(owners, np.arange(len(words))), len(owners))
+        counts.append(np.bincount(o, minlength=len(words[at : at + 20_000])))
+    rows, counts = np.concatenate(rows), np.concatenate(counts)
+    spans = np.concatenate(([0], np.cumsum(counts)))
+    per = counts.astype(np.float32)
     known = _screened(rows, spans, docs, y, TABLE)
     keep = known[rows]
     # what is not learnt adds nothing to any sum: from here on only the screened rows are held
-    rows, owners, table = rows[keep], owners[keep], np.flatnonzero(known)
+    owners = np.repeat(np.arange(len(words), dtype=np.int32), counts)[keep]
+    rows, table = rows[keep], np.flatnonzero(known)
     rows = np.searchsorted(table, rows)
     emb = rng.normal(0, 0.1, (len(table), DIM)).astype(np.float32)
     soft = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
