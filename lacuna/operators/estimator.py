@@ -173,21 +173,24 @@ def confidence_band(observed: Column, calibrated: Column, age: Column, covered:
     return label, error
 
 
-def report(curve: DataFrame, tail: Column | None = None, observed: float | None = None) -> DataFrame:
-    """``at, text``: a line for each number of jobs, then what past runs say of mining, then a measured run."""
+def report(curve: DataFrame, tail: Column | None = None, observed: float | None = None, hours: bool = True) -> DataFrame:
+    """``at, text``: a line for each number of jobs, then what past runs say of mining, then a measured run.
+
+    Without ``hours`` minutes count on past an hour.
+    """
     rows = curve.select(
         F.col("jobs").cast("long").alias("at"),
         F.concat(
-            F.format_string("jobs %d: ", F.col("jobs")), names.human_seconds("parallel_s"), F.format_string(", %.2f x", F.round("speedup", 2)),
+            F.format_string("jobs %d: ", F.col("jobs")), names.human_seconds("parallel_s", hours), F.format_string(", %.2f x", F.round("speedup", 2)),
             F.format_string(", efficiency %.0f %%", F.round(F.col("efficiency") * 100)),
         ).alias("text"),
     )
     one = curve.sparkSession.range(1)
     if tail is not None:
-        mined = one.select(F.lit(1 << 40).alias("at"), F.concat(F.lit("mining, by past runs: "), names.human_seconds(tail)).alias("text"))
+        mined = one.select(F.lit(1 << 40).alias("at"), F.concat(F.lit("mining, by past runs: "), names.human_seconds(tail, hours)).alias("text"))
         rows = rows.unionByName(mined.filter("text is not null"))
     if observed is not None:
-        rows = rows.unionByName(one.select(F.lit(1 << 41).alias("at"), F.concat(F.lit("last full run: "), names.human_seconds(F.lit(observed))).alias("text")))
+        rows = rows.unionByName(one.select(F.lit(1 << 41).alias("at"), F.concat(F.lit("last full run: "), names.human_seconds(F.lit(observed), hours)).alias("text")))
     return rows
 
 
