@@ -13,12 +13,17 @@ the union.  Equal sets fold into one class first.
    ``n`` less its prefix of what they share in it, and so in both prefixes.
 3. *Rarest shared shingle.*  That many shared shingles follow the one that fewest prefixes
    hold.  A pair is a candidate only at a shingle after which both sets have as many that
-   other sets hold; shingles of a passage that many texts share seldom are such.
+   other sets hold; shingles of a passage that many texts share seldom are such.  Shingles
+   that the same prefixes hold, such as a passage's, fold into the first of them, which
+   makes a pair a candidate if any of them does.
 4. *Hubs.*  Each set in a crowded key is first checked against a few others, that with
    fewest shingles of its own and those of the smallest hashes; pairs in one group by then
    need no check, and of each key only those outside its largest group meet its others.
    No link between groups is lost.
-5. *Verification.*  The sets' exact similarity decides.
+5. *Parities.*  A set has as many bits as shingles at least, each the parity of its
+   shingles there.  Two sets' bits differ in no more places than the sets do, so pairs of
+   texts that share a passage alone are told apart where they meet, by the whole sets.
+6. *Verification.*  The sets' exact similarity decides.
 
 Hash collisions (64 bits) are the only approximation.  Null text has no words; texts
 without words are one class.  Null ids and repeated rows are as in ``simhash``.
@@ -63,6 +68,30 @@ def _candidate(a: str, b: str) -> Column:
     return (n[0] * 5 >= n[1] * 4) & (n[1] * 5 >= n[0] * 4) & (F.least(f"left_{a}", f"left_{b}") + 1 >= least)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """A power of two of bits, as many as hashes at least: how often each is hit, modulo two."""
+    size = 64 << max(0, (max(len(hashes), 1) - 1).bit_length() - 6)
+    hit = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(hit.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """Parities ``x`` in the places of ``y``, which has as many or half as many."""
+    half = F.size(y)
+    both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) > half, both).otherwise(x)
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two sets' parities differ in no more places than sets of a similarity of 0.8 do.
+
+    Sizes that allow for it are within a quarter, so the longer parities are at most twice as long.
+    """
+    x, y = F.col(f"odd_{a}"), F.col(f"odd_{b}")
+    apart = F.zip_with(_folded(x, y), _folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda n, more: n + more) * 9 <= F.col(f"n_{a}") + F.col(f"n_{b}")
+
+
 def _ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample, sorted, and their counts."""
     total, parts = rows.count(), 1 << 20
@@ -82,29 +111,29 @@ def _ranks(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, set, fp, n, first`` of every row: the set's name, fingerprint and size, its first fifth and one more.
+    """``doc_id, tag, set, fp, n, first, odd`` of every row: the set's name, fingerprint, size, first fifth and one more, and parities.
 
     ``docs`` is of ``identified``.  Whole sets are made anew for the few that are verified.
     """
     known, often = _ranks(docs)
 
-    def ordered(text: str) -> tuple[int, int, int, np.ndarray]:
+    def ordered(text: str) -> tuple[int, int, int, np.ndarray, np.ndarray]:
         every = shingle_hashes(text, SHINGLE)
         name, hashes = _shingle_set(every)
-        n = len(hashes)
+        n, odd = len(hashes), _parities(hashes)
         if len(known) and n:
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hashes = hashes[np.argsort(np.where(known[at] == hashes, often[at], 0), kind="stable")]
-        return name, fingerprint_of(every), n, hashes[: n // 5 + 1].view(np.int64)
+        return name, fingerprint_of(every), n, hashes[: n // 5 + 1].view(np.int64), odd
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             found = [ordered(t) for t in batch["text"].to_pylist()]
             made = [pa.array(np.array([f[i] for f in found], np.uint64).view(np.int64)) for i in (0, 1)]
-            made += [pa.array([f[2] for f in found], pa.int32()), _lists([f[3] for f in found])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], *made], names=["doc_id", "tag", "set", "fp", "n", "first"])
+            made += [pa.array([f[2] for f in found], pa.int32()), *(_lists([f[i] for f in found]) for i in (3, 4))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tag"], *made], names=["doc_id", "tag", "set", "fp", "n", "first", "odd"])
 
-    return cut(docs.mapInArrow(emit, "doc_id long, tag int, set long, fp long, n int, first array<long>"), "prefixes")
+    return cut(docs.mapInArrow(emit, "doc_id long, tag int, set long, fp long, n int, first array<long>, odd array<long>"), "prefixes")
 
 
 def _shingle_set(every: list[int]) -> tuple[int, np.ndarray]:
@@ -179,14 +208,20 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("tag") == F.col("first_tag"))
     copies = cut(copies.filter(~same).select("doc_id", "tag").distinct(), "copies")
     holders = holders.drop("held")
-    one = found.join(bounded(copies, copies.count(), 64), same_doc(found, copies), "left_anti").select("set", "n", "first")
-    keys = one.select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("held")).filter("held > 1")
-    keys = cut(keys, "keys")
-    rows = one.select("set", "n", F.explode("first").alias("h")).join(bounded(keys, keys.count(), 24), "h")
+    one = found.join(bounded(copies, copies.count(), 64), same_doc(found, copies), "left_anti").select("set", "n", "first", "odd")
+    in_prefix = one.select("set", "n", F.explode("first").alias("h"))
+    # sums, as rows equal in id and text hold one set several times; of 32 bits, which never overflow
+    sums = [F.sum(F.hash("set").cast("long")).alias("sum"), F.sum(F.shiftright(F.xxhash64("set"), 32)).alias("other")]
+    keys = in_prefix.groupBy("h").agg(F.count("*").alias("held"), F.min("set").alias("least"), *sums)
+    keys = cut(keys.filter("held > 1"), "keys")
+    # shingles that the same sets hold: the first of them in the order below stands for all
+    folded = keys.groupBy("held", "least", "sum", "other").agg(F.min("h").alias("h")).select("h", F.lit(True).alias("stands"))
+    keys = cut(keys.select("h", "held").join(folded, "h", "left"), "folded")
+    rows = in_prefix.join(bounded(keys, keys.count(), 32), "h")
     # of the prefix's shingles that others hold, how many are held by more of them; and those no other holds
     left = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("held"), F.desc("h"))) - 1
     own = F.floor(F.col("n") / 5) + 1 - F.count("*").over(Window.partitionBy("set"))
-    rows = cut(rows.withColumn("left", left).withColumn("own", own), "keyed")
+    rows = cut(rows.withColumn("left", left).withColumn("own", own).filter("stands").drop("stands"), "keyed")
 
     joined = _verified(_close(found), docs, holders)
     now, n_sets = _grouped(rows, joined), holders.count()
@@ -209,10 +244,12 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     of_key = now.groupBy("h", "group").agg(F.count("*").alias("c")).groupBy("h")
     of_key = cut(of_key.agg(F.count("*").alias("groups"), F.max(F.struct("c", "group")).alias("most")).filter("groups > 1"), "mixed")
     now = cut(now.join(of_key.select("h", F.col("most.group").alias("most")), "h"), "apart")
-    few, every = (now.select("h", "most", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "left", "group")]) for side in "ab")
+    odd = one.select("set", "odd").join(now.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"])
+    now = now.join(odd, "set")
+    few, every = (now.select("h", "most", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "left", "group", "odd")]) for side in "ab")
     few, every = few.filter(F.col("group_a") != F.col("most")).drop("most"), every
     once = (F.col("group_b") == F.col("most")) | (F.col("set_a") < F.col("set_b"))
-    pairs = few.join(every, "h").filter((F.col("group_a") != F.col("group_b")) & once & _candidate("a", "b"))
+    pairs = few.join(every, "h").filter((F.col("group_a") != F.col("group_b")) & once & _candidate("a", "b") & _near("a", "b"))
     last = _verified(pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")), docs, holders)
     return joined.unionAll(last)
 

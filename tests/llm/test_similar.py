@@ -73,3 +73,35 @@ def test_awkward(awkward, nothing):
     assert kept.columns == awkward.columns
     assert similar.without_similar(nothing).collect() == []
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 4, 5, 6]
+
+
+def test_shared_passage(spark, monkeypatch):
+    """Texts that share a passage of two thirds of their words are few candidates, not all pairs at each of its shingles."""
+    rng, seen, check = random.Random(3), [], similar._verified
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passage = rng.choices(vocabulary, k=200)
+    texts = {i: " ".join(passage + rng.choices(vocabulary, k=rng.randint(90, 110))) for i in range(60)}
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    monkeypatch.setattr(similar, "OFTEN", 1000)  # as in a table so large that the sample misses the passage
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert similar.without_similar(docs).count() == len(survivors(texts)) == len(texts)
+    assert seen[-1] < len(texts)
+
+
+def test_lengths_around_powers_of_two(spark):
+    """Pairs at and below the threshold whose parities are of one length or of two; long sets among them."""
+    rng, texts = random.Random(5), {}
+    vocabulary = [f"w{i}" for i in range(9000)]
+    for size in (50, 62, 70, 120, 500, 512, 520, 900, 1000, 1030, 3700, 4090):
+        for share in (0.7, 0.78, 0.79, 0.8, 0.81, 0.9):
+            base = rng.choices(vocabulary, k=size + 4)
+            more = round(size / share) - size
+            texts |= {len(texts): " ".join(base), len(texts) + 1: " ".join(base + rng.choices(vocabulary, k=more))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in similar.without_similar(docs).collect())
+    assert kept == sorted(survivors(texts)) and len(texts) / 2 < len(kept) < len(texts)
