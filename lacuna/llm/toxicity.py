@@ -24,6 +24,7 @@ An empty table gives no rows.  Without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ WINDOW = 48
 LEAST = 24
 #: Subwords in fewer training texts stay at zero: they can only be learnt by heart.
 MIN_TEXTS = 4
+#: The share of subwords that chance may have among those learnt.
+FALSE = 0.05
 #: What steps are damped by: rows that move few texts move little.
 EPS = 1e-6
 #: How strongly embeddings are drawn to zero.
@@ -135,8 +138,8 @@ class Model:
 def _screened(rows: np.ndarray, spans: np.ndarray, docs: list[np.ndarray], y: np.ndarray, n_rows: int) -> np.ndarray:
     """Rows whose share of toxic and of clean texts differ by more than chance among so many rows.
 
-    The bound is the universal threshold, sqrt(2 ln n) deviations: the largest of ``n``
-    chance differences stays under it.
+    The bound holds the expected share of chance among those kept at ``FALSE``
+    (Benjamini and Hochberg), so it falls as more rows are found to differ.
     """
     held = np.zeros((2, n_rows))
     for d, label in zip(docs, y, strict=True):
@@ -147,7 +150,10 @@ def _screened(rows: np.ndarray, spans: np.ndarray, docs: list[np.ndarray], y: np
     share = held.sum(0) / sizes.sum()
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / sizes).sum())
     apart = np.abs(held[1] / sizes[1] - held[0] / sizes[0]) / spread
-    return tried & (apart > np.sqrt(2 * np.log(max(2, tried.sum()))))
+    most = np.sort(apart[tried])[::-1]
+    chance = np.array([math.erfc(x / math.sqrt(2)) for x in most.tolist()])
+    under = np.flatnonzero(chance <= FALSE * np.arange(1, len(most) + 1) / max(1, len(most)))
+    return tried & (apart >= most[under[-1]]) if len(under) else np.zeros(n_rows, bool)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
